@@ -1,4 +1,484 @@
-"""Queries and their SQL, by name."""
+"""Queries of the interval operators on the test tables, each with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from locusflow.functions import digests
+from locusflow.operators import coverage, enrichment, overlaps, ranges, scoring, statistics
+from locusflow.plans.adapters import Tables, with_views
+
+C = F.col
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers f(tables) under its name."""
+    def add(f: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def _islands(source: str, keys: str = "chr", gap: int = 0) -> str:
+    w = f'PARTITION BY {keys} ORDER BY start, "end" ROWS'
+    return f"""SELECT {keys}, min(start) AS start, max("end") AS "end" FROM (
+      SELECT *, sum(f) OVER ({w} UNBOUNDED PRECEDING) AS g FROM (
+        SELECT *, CASE WHEN start <= max("end") OVER ({w} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS f FROM {source}))
+      GROUP BY {keys}, g"""
+
+
+_AB = f"WITH ra AS ({_islands('iv_a')}), rb AS ({_islands('iv_b')})"
+_SEG = _AB + """, pos AS (SELECT chr, start AS p FROM ra UNION SELECT chr, "end" FROM ra UNION SELECT chr, start FROM rb UNION SELECT chr, "end" FROM rb),
+seg AS (SELECT chr, p AS start, lead(p) OVER (PARTITION BY chr ORDER BY p) AS "end" FROM pos),
+flag AS (SELECT *, EXISTS (SELECT 1 FROM ra WHERE ra.chr = seg.chr AND ra.start <= seg.start AND ra."end" >= seg."end") AS in_a,
+  EXISTS (SELECT 1 FROM rb WHERE rb.chr = seg.chr AND rb.start <= seg.start AND rb."end" >= seg."end") AS in_b FROM seg WHERE "end" IS NOT NULL)"""
+_PAIRS = """WITH hits AS (SELECT q.id AS qid, q.chr AS chr, q.start AS qs, q."end" AS qe, s.start AS ss, s."end" AS se, s.id AS sid FROM iv_a q JOIN iv_b s ON q.chr = s.chr AND s.start < q."end" AND s."end" > q.start)"""
+
+# row-wise transforms
+
+
+def transform_sql(start: str, end: str, source: str = "iv_a", more: str = "id") -> str:
+    return f'SELECT {more}, chr, CAST({start} AS BIGINT) AS start, CAST({end} AS BIGINT) AS "end" FROM {source}'
+
+
+@query('SELECT id, "end" - start AS width, start + ("end" - start) // 2 AS mid, start + ("end" - start) // 2 - CASE WHEN ("end" - start) % 4 = 2 THEN 1 ELSE 0 END AS mid_closed FROM iv_a')
+def width_and_midpoints(t):
+    return t.a.select("id", ranges.width().alias("width"), ranges.midpoint().alias("mid"), ranges.midpoint("granges").alias("mid_closed"))
+
+
+@query(transform_sql("greatest(0, start - 40)", 'greatest(greatest(0, start - 40), "end" - 40)'))
+def shift(t):
+    return ranges.shift(t.a, -40)
+
+
+@query(transform_sql("greatest(0, start - 10)", "start"))
+def flank_start(t):
+    return ranges.flank(t.a, 10)
+
+
+@query(transform_sql('greatest(0, "end" - 10)', '"end" + 10'))
+def flank_both_ends(t):
+    return ranges.flank(t.a, 10, use_start=False, both=True)
+
+
+@query(transform_sql('greatest(0, start + ("end" - start) // 2 - 10)', 'greatest(0, start + ("end" - start) // 2 - 10) + 20'))
+def resize_center(t):
+    return ranges.resize(t.a, 20, "center")
+
+
+@query(transform_sql('least(greatest(start + 2, start), "end")', 'greatest(least(greatest(start + 2, start), "end"), least(start + 12, "end"))'))
+def narrow(t):
+    return ranges.narrow(t.a, start=3, width=10)
+
+
+@query(transform_sql("greatest(0, start - 100)", "start + 20"))
+def promoters(t):
+    return ranges.promoters(t.a, 100, 20)
+
+
+@query(transform_sql("greatest(0, CASE WHEN strand = '-' THEN \"end\" - 20 ELSE start - 100 END)", "CASE WHEN strand = '-' THEN \"end\" + 100 ELSE start + 20 END", "iv_b", "id, strand"))
+def promoters_stranded(t):
+    return ranges.promoters(t.b, 100, 20, stranded=True)
+
+
+@query('SELECT id, a.chr AS chr, start, CAST(least("end", size - 50000) AS BIGINT) AS "end" FROM iv_a a JOIN sizes s ON a.chr = s.chr WHERE start <= least("end", size - 50000)')
+def trim(t):
+    return ranges.trim(t.a, t.sizes.withColumn("size", C("size") - 50000))
+
+
+@query("""SELECT id, strand, b.chr AS chr, CAST(least(start, coalesce(size, greatest(start, "end"))) AS BIGINT) AS start, CAST(least("end", coalesce(size, greatest(start, "end"))) AS BIGINT) AS "end"
+FROM iv_b b LEFT JOIN (SELECT chr, size - 50000 AS size FROM sizes WHERE chr <> 'chr3') s ON b.chr = s.chr
+WHERE least(start, coalesce(size, greatest(start, "end"))) < least("end", coalesce(size, greatest(start, "end")))""")
+def trim_stranded(t):
+    return ranges.trim(t.b, t.sizes.filter("chr <> 'chr3'").withColumn("size", C("size") - 50000), stranded=True)
+
+
+@query("""SELECT id, md5(chr || ',' || start || ',' || "end") AS digest, chr || chr(9) || start || chr(9) || "end" AS line FROM iv_a""")
+def region_digest(t):
+    return t.a.select("id", digests.region_digest().alias("digest"), digests.region_line().alias("line"))
+
+
+@query("""SELECT chr, CAST(u AS BIGINT) AS start, CAST(least(u + 999, size) AS BIGINT) AS "end" FROM (SELECT chr, size, unnest(range(1, size + 1, 1000)) AS u FROM sizes)""")
+def genome_bins(t):
+    return ranges.tiles(t.sizes, 1000)
+
+
+# sweeps and set operations
+
+
+@query(_islands("iv_a"))
+def reduce(t):
+    return ranges.reduce(t.a)
+
+
+@query(_islands("iv_b", "chr, strand"))
+def reduce_stranded(t):
+    return ranges.reduce(t.b, ["chr", "strand"])
+
+
+@query("""WITH pos AS (SELECT chr, start AS p FROM iv_a UNION SELECT chr, "end" FROM iv_a), seg AS (SELECT chr, p AS start, lead(p) OVER (PARTITION BY chr ORDER BY p) AS "end" FROM pos)
+SELECT chr, start, "end" FROM seg WHERE "end" IS NOT NULL AND EXISTS (SELECT 1 FROM iv_a a WHERE a.chr = seg.chr AND a.start <= seg.start AND a."end" >= seg."end")""")
+def disjoin(t):
+    return ranges.disjoin(t.a)
+
+
+@query(f"""WITH r AS ({_islands("iv_a")}), g AS (SELECT chr, coalesce(lag("end") OVER (PARTITION BY chr ORDER BY start), 0) AS start, start AS "end" FROM r
+UNION ALL SELECT s.chr, max(r."end"), any_value(size) FROM sizes s JOIN r ON r.chr = s.chr GROUP BY s.chr)
+SELECT chr, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM g WHERE start < "end" """)
+def gaps(t):
+    return ranges.gaps(t.a, t.sizes)
+
+
+@query(f"""WITH r AS ({_islands("iv_a", gap=5)}), k AS (SELECT *, row_number() OVER (ORDER BY chr, start) - 1 AS cluster_id FROM r)
+SELECT a.id AS id, a.chr AS chr, a.start AS start, a."end" AS "end", k.cluster_id AS cluster_id FROM iv_a a JOIN k ON a.chr = k.chr AND a.start >= k.start AND a."end" <= k."end" """)
+def cluster(t):
+    return ranges.cluster(t.a, 5)
+
+
+@query(_SEG + ' SELECT chr, start, "end" FROM flag WHERE in_a AND NOT in_b')
+def setdiff(t):
+    return ranges.setdiff(t.a, t.b)
+
+
+@query(_SEG + ' SELECT chr, start, "end" FROM flag WHERE in_a AND in_b')
+def intersect(t):
+    return ranges.intersect(t.a, t.b)
+
+
+@query(_islands('(SELECT chr, start, "end" FROM iv_a UNION ALL SELECT chr, start, "end" FROM iv_b)'))
+def union(t):
+    return ranges.union(t.a, t.b)
+
+
+@query('SELECT count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS bp FROM (SELECT start, "end" FROM iv_a UNION ALL SELECT start, "end" FROM iv_b)')
+def concat(t):
+    return t.a.select("start", "end").unionByName(t.b.select("start", "end")).agg(F.count("*").alias("n"), F.sum(ranges.width()).alias("bp"))
+
+
+@query(f"""WITH r AS ({_islands("(SELECT * FROM sets WHERE set_id <= 2)", "set_id, chr")}), x AS (SELECT a.chr AS chr, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM r a JOIN r b ON a.set_id = 1 AND b.set_id = 2 AND a.chr = b.chr AND a.start < b."end" AND b.start < a."end")
+{_islands("x")}""")
+def intersect_all(t):
+    return ranges.intersect_all(t.sets.filter("set_id <= 2"), 2)
+
+
+@query(f"""WITH x AS (SELECT k.set_id AS set_id, s.chr AS chr, s.start AS start, s."end" AS "end" FROM sets s JOIN (SELECT DISTINCT set_id FROM sets) k ON s.set_id <> k.set_id)
+{_islands("x", "set_id, chr")}""")
+def union_except(t):
+    return ranges.union_except(t.sets, t.sets.select("set_id").distinct())
+
+
+# joins
+
+
+@query(_PAIRS + " SELECT qid AS q_id, sid AS s_id, CAST(least(qe, se) - greatest(qs, ss) AS BIGINT) AS width FROM hits")
+def overlap_pairs(t):
+    from locusflow.operators.primitives import iv_join
+
+    return iv_join(t.a, t.b.drop("strand")).select("q_id", "s_id", ranges.overlap_width("q_", "s_").alias("width"))
+
+
+@query(_PAIRS + ", l AS (SELECT qid, string_agg(DISTINCT CAST(sid AS VARCHAR), ',' ORDER BY CAST(sid AS VARCHAR)) AS ids FROM hits GROUP BY qid) SELECT id, coalesce(ids, '') AS ids FROM iv_a LEFT JOIN l ON qid = id")
+def find_overlaps(t):
+    return overlaps.find_overlaps(t.a, t.b).select("id", F.array_join(F.array_sort(C("ids").cast("array<string>")), ",").alias("ids"))
+
+
+@query(_PAIRS + " SELECT id, count(qid) AS n FROM iv_a LEFT JOIN hits ON qid = id GROUP BY id")
+def count_overlaps(t):
+    return overlaps.count_overlaps(t.a, t.b)
+
+
+@query(_PAIRS + " SELECT id, count(qid) AS n FROM iv_a LEFT JOIN hits ON qid = id AND least(qe, se) - greatest(qs, ss) >= 8 GROUP BY id")
+def count_overlaps_min(t):
+    return overlaps.count_overlaps(t.a, t.b, 8)
+
+
+@query(_PAIRS + " SELECT id, count(qid) > 0 AS hit FROM iv_a LEFT JOIN hits ON qid = id GROUP BY id")
+def any_overlaps(t):
+    return overlaps.any_overlaps(t.a, t.b)
+
+
+@query('SELECT DISTINCT chr, start, "end" FROM iv_b b WHERE EXISTS (SELECT 1 FROM iv_a a WHERE a.chr = b.chr AND a.start < b."end" AND a."end" > b.start)')
+def subset_by_overlaps(t):
+    return overlaps.subset_by_overlaps(t.b, t.a)
+
+
+@query('SELECT id, chr, start, "end" FROM iv_a a WHERE NOT EXISTS (SELECT 1 FROM iv_b b WHERE a.chr = b.chr AND a.start < b."end" AND a."end" > b.start)')
+def not_overlapping(t):
+    return overlaps.not_overlapping(t.a, t.b)
+
+
+_LEFT = """l AS (SELECT a.id AS id, a.chr AS chr, a.start AS start, a."end" AS "end", p.p AS before FROM iv_a a ASOF LEFT JOIN (SELECT DISTINCT chr, "end" AS p FROM iv_b) p ON a.chr = p.chr AND a.start >= p.p),
+r AS (SELECT l.*, p.p AS after FROM l ASOF LEFT JOIN (SELECT DISTINCT chr, start AS p FROM iv_b) p ON l.chr = p.chr AND l."end" <= p.p)"""
+
+
+@query(_PAIRS + f""", {_LEFT}, d AS (SELECT id, start - before AS d FROM r UNION ALL SELECT id, after - "end" FROM r UNION ALL SELECT DISTINCT qid, 0 FROM hits)
+SELECT id, CAST(min(d) AS BIGINT) AS distance FROM d WHERE d IS NOT NULL GROUP BY id""")
+def closest(t):
+    return overlaps.closest(t.a, t.b)
+
+
+_MID = """WITH m AS (SELECT DISTINCT chr, start + ("end" - start) // 2 AS p FROM iv_b), q AS (SELECT id, chr, start + ("end" - start) // 2 AS mid FROM iv_a),
+l AS (SELECT q.*, m.p AS before FROM q ASOF LEFT JOIN m ON q.chr = m.chr AND q.mid >= m.p), r AS (SELECT l.*, m.p AS after FROM l ASOF LEFT JOIN m ON l.chr = m.chr AND l.mid <= m.p),
+d AS (SELECT id, CAST(CASE WHEN after IS NULL OR mid - before <= after - mid THEN before - mid ELSE after - mid END AS BIGINT) AS distance FROM r)"""
+
+
+@query(_MID + " SELECT id, distance FROM d")
+def feature_distances(t):
+    return overlaps.feature_distances(t.a, t.b)
+
+
+@query(_MID + " SELECT id, abs(distance) AS distance FROM d")
+def tss_distances(t):
+    return overlaps.tss_distances(t.a, t.b)
+
+
+@query(_MID + " SELECT median(abs(distance)) AS median_abs_distance FROM d")
+def median_abs_distance(t):
+    return overlaps.feature_distances(t.a, t.b).agg(F.percentile(F.abs("distance"), F.lit(0.5)).alias("median_abs_distance"))
+
+
+@query('SELECT s.set_id AS set_id, count(*) AS pairs, count(DISTINCT q.id) AS queries FROM iv_b q JOIN sets s ON q.chr = s.chr AND s.start < q."end" AND s."end" > q.start GROUP BY s.set_id')
+def hits_per_set(t):
+    return overlaps.hits_per_set(t.b, t.sets)
+
+
+@query("""WITH a AS (SELECT chr, start, "end", row_number() OVER (ORDER BY id) AS ord FROM iv_b), b AS (SELECT chr, start + 7 AS start, "end" + 7 AS "end", row_number() OVER (ORDER BY id) + 1 AS ord FROM iv_b)
+SELECT ord, a.chr AS chr, CASE WHEN a.chr = b.chr THEN greatest(a.start, b.start) ELSE a.start END AS start, CASE WHEN a.chr = b.chr THEN greatest(greatest(a.start, b.start), least(a."end", b."end")) ELSE a.start END AS "end" FROM a JOIN b USING (ord)""")
+def pintersect(t):
+    ord_ = F.row_number().over(Window.orderBy("id")).cast("long")
+    b = t.b.select("chr", "start", "end", ord_.alias("ord"))
+    return ranges.pintersect(b, b.select("chr", (C("start") + 7).alias("start"), (C("end") + 7).alias("end"), (C("ord") + 1).alias("ord")))
+
+
+# statistics
+
+
+@query('SELECT count(*) AS n, round(avg("end" - start), 2) AS mean_width, CAST(sum("end" - start) AS BIGINT) AS total_bp FROM iv_a')
+def set_summary(t):
+    return t.a.agg(F.count("*").alias("n"), F.round(F.avg(ranges.width()), 2).alias("mean_width"), F.sum(ranges.width()).alias("total_bp"))
+
+
+@query('SELECT chr, max("end") AS "end" FROM iv_a GROUP BY chr')
+def max_end_per_chr(t):
+    return t.a.groupBy("chr").agg(F.max("end").alias("end"))
+
+
+@query('SELECT chr, count(*) AS n, min(start) AS first, max("end") AS last, min("end" - start) AS min_width, max("end" - start) AS max_width, avg("end" - start) AS mean_width, median("end" - start) AS median_width FROM iv_a GROUP BY chr')
+def chromosome_statistics(t):
+    return statistics.chromosome_statistics(t.a)
+
+
+@query("""WITH w AS (SELECT greatest(1, max("end") // 100) AS size FROM iv_a) SELECT chr, (start + ("end" - start) // 2) // size AS rid, count(*) AS n FROM iv_a, w GROUP BY ALL""")
+def region_distribution(t):
+    return statistics.distribution(t.a, 100)
+
+
+@query("""WITH w AS (SELECT greatest(1, max(size) // 100) AS width FROM sizes), s AS (SELECT chr, size - 70000 AS size, width, greatest(1, (size - 70000) // width) AS nb FROM sizes, w)
+SELECT a.chr AS chr, least((start + ("end" - start) // 2) // width, nb - 1) AS rid, count(*) AS n FROM iv_a a JOIN s ON a.chr = s.chr WHERE start + ("end" - start) // 2 < size GROUP BY ALL""")
+def region_distribution_sizes(t):
+    sizes = t.sizes
+    top = sizes.agg(F.max("size").alias("m"))  # the widest chromosome sets the bins, the others are shortened
+    shorter = sizes.join(F.broadcast(top)).select("chr", (C("size") - 70000).alias("size"), "m")
+    width = F.greatest(F.lit(1).cast("long"), F.floor(C("m") / 100))
+    s = shorter.select("chr", "size", width.alias("width"), F.greatest(F.lit(1).cast("long"), F.floor(C("size") / width)).alias("n_bins"))
+    return statistics.binned(t.a, s)
+
+
+@query(_SEG + """, x AS (SELECT CAST(sum("end" - start) FILTER (in_a AND in_b) AS BIGINT) AS i, CAST(sum("end" - start) FILTER (in_a) AS BIGINT) AS a, CAST(sum("end" - start) FILTER (in_b) AS BIGINT) AS b FROM flag)
+SELECT i / (a + b - i) AS jaccard, i / a AS coverage, i / least(a, b) AS overlap_coefficient, i AS shared_bp FROM x""")
+def similarity(t):
+    return statistics.similarity(t.a, t.b)
+
+
+@query(f"""WITH r AS ({_islands("sets", "set_id, chr")}), bp AS (SELECT set_id, sum("end" - start) AS bp FROM r GROUP BY set_id),
+x AS (SELECT a.set_id AS i, b.set_id AS j, sum(least(a."end", b."end") - greatest(a.start, b.start)) AS o FROM r a JOIN r b ON a.set_id < b.set_id AND a.chr = b.chr AND a.start < b."end" AND b.start < a."end" GROUP BY ALL)
+SELECT p.set_id AS i, q.set_id AS j, CAST(coalesce(o, 0) / (p.bp + q.bp - coalesce(o, 0)) AS DOUBLE) AS jaccard FROM bp p JOIN bp q ON p.set_id < q.set_id LEFT JOIN x ON x.i = p.set_id AND x.j = q.set_id""")
+def pairwise_jaccard(t):
+    return statistics.pairwise_jaccard(t.sets)
+
+
+@query(f"""WITH u AS ({_islands("sets")}) SELECT u.chr AS chr, u.start AS start, u."end" AS "end", count(DISTINCT s.set_id) AS count FROM u JOIN sets s ON s.chr = u.chr AND s.start < u."end" AND s."end" > u.start GROUP BY ALL""")
+def consensus(t):
+    return statistics.consensus(t.sets)
+
+
+@query('SELECT * FROM (SELECT chr, start, "end", lead(start) OVER (PARTITION BY chr ORDER BY start, "end") - "end" AS distance FROM iv_a) WHERE distance > 0')
+def neighbor_distances(t):
+    return statistics.neighbor_distances(t.a)
+
+
+@query("""WITH x AS (SELECT chr, start, "end", lag("end") OVER w AS l, lead(start) OVER w AS r FROM iv_a WINDOW w AS (PARTITION BY chr ORDER BY start, "end"))
+SELECT chr, start, "end", CAST(least(greatest(0, start - l), greatest(0, r - "end")) AS BIGINT) AS distance FROM (SELECT * REPLACE (coalesce(l, -1000000000) AS l, coalesce(r, 1000000000) AS r) FROM x WHERE l IS NOT NULL OR r IS NOT NULL)""")
+def nearest_neighbors(t):
+    return statistics.nearest_neighbors(t.a)
+
+
+_NAMES = ["exon", "intron", "utr"]
+_PART = """WITH h AS (SELECT q.id AS id, p.priority AS priority, least(q."end", p."end") - greatest(q.start, p.start) AS o FROM iv_a q JOIN parts p ON q.chr = p.chr AND q.start < p."end" AND q."end" > p.start),
+names AS (SELECT * FROM (VALUES (0, 'exon'), (1, 'intron'), (2, 'utr'), (3, 'intergenic')) v(k, partition))"""
+
+
+@query(_PART + ", f AS (SELECT a.id, coalesce(min(priority), 3) AS k FROM iv_a a LEFT JOIN h ON h.id = a.id GROUP BY a.id) SELECT partition, count(f.k) AS n FROM names LEFT JOIN f USING (k) GROUP BY partition")
+def partition_counts(t):
+    return statistics.partition_counts(t.a, t.parts, _NAMES)
+
+
+@query(_PART + """, b AS (SELECT priority AS k, CAST(sum(o) AS BIGINT) AS bp FROM h GROUP BY priority), n AS (SELECT partition, k, coalesce(bp, 0) AS bp FROM names LEFT JOIN b USING (k) WHERE k < 3)
+SELECT partition, bp FROM n UNION ALL SELECT 'intergenic', CAST(greatest(0, (SELECT sum("end" - start) FROM iv_a) - (SELECT sum(bp) FROM n)) AS BIGINT)""")
+def partition_bp(t):
+    return statistics.partition_bp(t.a, t.parts, _NAMES)
+
+
+# enrichment
+
+_LOLA = """WITH u AS (SELECT id, chr, start, "end" FROM iv_a), us AS (SELECT *, start % 3 AS user_set FROM u),
+hit AS (SELECT DISTINCT us.id AS id, us.user_set AS user_set, s.set_id AS set_id FROM us JOIN sets s ON s.set_id > 2 AND us.chr = s.chr AND us.start < s."end" AND us."end" > s.start),
+k AS (SELECT set_id, count(*) AS hits FROM hit GROUP BY set_id), n AS (SELECT user_set, count(*) AS size FROM us GROUP BY user_set), t AS (SELECT count(*) AS total FROM u), g AS (SELECT user_set, set_id, count(*) AS a FROM hit GROUP BY ALL),
+x AS (SELECT n.user_set AS user_set, k.set_id AS set_id, coalesce(g.a, 0) AS a, hits - coalesce(g.a, 0) AS b, size - coalesce(g.a, 0) AS c, total - size - hits + coalesce(g.a, 0) AS d
+  FROM n CROSS JOIN k CROSS JOIN t LEFT JOIN g ON g.user_set = n.user_set AND g.set_id = k.set_id)"""
+
+
+def _contingency(t):
+    universe = t.a.select("id", "chr", "start", "end")
+    users = universe.withColumn("user_set", C("start") % 3)
+    return enrichment.contingency(users, t.sets.filter("set_id > 2"), universe)
+
+
+@query(_LOLA + " SELECT user_set, set_id, a, b, c, d FROM x")
+def lola_contingency(t):
+    return _contingency(t)
+
+
+_TAIL = """, tail AS (SELECT user_set, set_id, a, b, c, d, unnest(range(a, least(a + b, a + c) + 1)) AS i FROM x),
+f AS (SELECT user_set, set_id, a, b, c, d, sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(c + d - (a + c - i) + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))) AS p FROM tail GROUP BY ALL)"""
+
+
+@query(_LOLA + _TAIL + " SELECT user_set, set_id, round(least(1.0, p), 6) AS p FROM f")
+def fisher_p(t):
+    return enrichment.fisher(_contingency(t)).select("user_set", "set_id", F.round("p_value", 6).alias("p"))
+
+
+@query(_LOLA + _TAIL + """, q AS (SELECT user_set, set_id, least(1.0, p) AS p, row_number() OVER (PARTITION BY user_set ORDER BY p, set_id) AS k, count(*) OVER (PARTITION BY user_set) AS n FROM f)
+SELECT user_set, set_id, round(min(least(1.0, p * n / k)) OVER (PARTITION BY user_set ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS q FROM q""")
+def fdr(t):
+    return enrichment.bh(enrichment.fisher(_contingency(t))).select("user_set", "set_id", F.round("q_value", 6).alias("q"))
+
+
+@query(_LOLA + " SELECT user_set, set_id, rank() OVER (PARTITION BY user_set ORDER BY a DESC) AS support_rank FROM x")
+def support_rank(t):
+    return _contingency(t).select("user_set", "set_id", F.rank().over(Window.partitionBy("user_set").orderBy(C("a").desc())).cast("long").alias("support_rank"))
+
+
+@query("""WITH us AS (SELECT *, start % 3 AS user_set FROM iv_b) SELECT DISTINCT us.user_set AS user_set, a.id AS id FROM iv_a a JOIN us ON a.chr = us.chr AND a.start < us."end" AND a."end" > us.start""")
+def redefine_user_sets(t):
+    return enrichment.redefine(t.b.withColumn("user_set", C("start") % 3), t.a)
+
+
+@query(_PAIRS + " SELECT count(*) FILTER (n > 0) AS covered, count(*) FILTER (n > 1) AS many, count(*) AS total FROM (SELECT id, count(qid) AS n FROM iv_a LEFT JOIN hits ON qid = id GROUP BY id)")
+def universe_check(t):
+    return enrichment.check_universe(t.a, t.b)
+
+
+# tokens, scoring, coverage
+
+_UNIVERSE = f"WITH u AS ({_islands('iv_b')}), v AS (SELECT *, row_number() OVER (ORDER BY chr, start) - 1 AS token FROM u)"
+
+
+@query(_UNIVERSE + """, h AS (SELECT f.id AS id, f.barcode AS barcode, v.token AS token FROM fragments f LEFT JOIN v ON f.chr = v.chr AND f.start < v."end" AND f."end" > v.start), k AS (SELECT count(*) AS unk FROM v)
+SELECT barcode, string_agg(CAST(coalesce(token, unk) AS VARCHAR), ' ' ORDER BY id, coalesce(token, unk)) AS tokens FROM h, k GROUP BY barcode""")
+def tokenize_fragments(t):
+    return scoring.tokenize_fragments(t.fragments, scoring.universe(ranges.reduce(t.b))).select("barcode", F.array_join(C("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+@query(_UNIVERSE + " SELECT token, chr || ':' || start || '-' || \"end\" AS name FROM v")
+def universe_tokens(t):
+    return scoring.universe(ranges.reduce(t.b)).select("token", "name")
+
+
+@query("""WITH c AS (SELECT barcode, chr, start + 4 AS s, start + 5 AS e FROM fragments UNION ALL SELECT barcode, chr, "end" - 5, "end" - 6 FROM fragments)
+SELECT p.id AS peak, c.barcode AS barcode, count(*) AS n FROM c JOIN iv_b p ON c.chr = p.chr AND p.start < c.e AND p."end" > c.s GROUP BY ALL""")
+def peak_barcode_counts(t):
+    return scoring.peak_counts(t.fragments, t.b, "atac")
+
+
+@query('SELECT p.id AS peak, f.barcode AS barcode, count(*) AS n FROM fragments f JOIN iv_b p ON f.chr = p.chr AND p.start < f."end" AND p."end" > f.start GROUP BY ALL')
+def peak_barcode_counts_chip(t):
+    return scoring.peak_counts(t.fragments, t.b, "chip")
+
+
+def _track(events: str) -> str:
+    return f"""WITH e AS ({events}), p AS (SELECT chr, pos, sum(d) AS d FROM e GROUP BY ALL), r AS (SELECT chr, pos, sum(d) OVER (PARTITION BY chr ORDER BY pos) AS n, lead(pos) OVER (PARTITION BY chr ORDER BY pos) AS nx FROM p WHERE d <> 0)
+SELECT chr, pos AS start, CAST(nx AS BIGINT) AS "end", CAST(n AS BIGINT) AS count FROM r WHERE nx IS NOT NULL AND n <> 0"""
+
+
+@query(_track('SELECT chr, start + 1 AS pos, 1 AS d FROM iv_a UNION ALL SELECT chr, "end", -1 FROM iv_a'))
+def core_coverage(t):
+    return coverage.runs(coverage.core_events(t.a))
+
+
+@query(_track("SELECT chr, greatest(1, start + 1 - 5) AS pos, 1 AS d FROM iv_a UNION ALL SELECT chr, start + 1 + 5 + 1, -1 FROM iv_a"))
+def start_coverage(t):
+    return coverage.runs(coverage.point_events(t.a, "start", 5))
+
+
+# sequences and digests
+
+_SEQ = "WITH s AS (SELECT doc_id, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'EIOURSHDMLBFKPQVWXYZ', 'ACGTACGTACGTACGTACGT') AS seq FROM documents), d AS (SELECT doc_id, regexp_replace(seq, '[^ACGTN]', '', 'g') AS seq FROM s)"
+
+
+def _sequences(t):
+    s = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), "EIOURSHDMLBFKPQVWXYZ", "ACGTACGTACGTACGTACGT")
+    return t.read("documents").select("doc_id", F.regexp_replace(s, "[^ACGTN]", "").alias("seq"))
+
+
+@query(_SEQ + " SELECT doc_id, CAST(length(seq) AS BIGINT) AS length, md5(seq) AS md5, CASE WHEN length(seq) = 0 THEN 0.0 ELSE round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) END AS gc FROM d")
+def sequence_digests(t):
+    return _sequences(t).select("doc_id", F.length("seq").cast("long").alias("length"), F.md5("seq").alias("md5"), F.round(digests.gc_content(C("seq")), 6).alias("gc"))
+
+
+@query()
+def sequence_sha512t24u(t):
+    return _sequences(t).select("doc_id", F.concat(F.lit("SQ."), digests.sha512t24u(C("seq"))).alias("digest"))
+
+
+@query(_SEQ + ", p AS (SELECT doc_id, substr(seq, CAST(i AS INTEGER), 2) AS pair FROM (SELECT doc_id, seq, unnest(range(1, length(seq))) AS i FROM d)) SELECT doc_id, pair, count(*) AS n FROM p WHERE pair NOT LIKE '%N%' GROUP BY ALL")
+def dinucleotides(t):
+    return digests.dinucleotides(_sequences(t), "doc_id", "seq")
+
+
+@query(_SEQ + " SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS md5 FROM d")
+def reverse_complement(t):
+    return _sequences(t).select("doc_id", F.md5(digests.reverse_complement(C("seq"))).alias("md5"))
+
+
+@query("""SELECT set_id, md5(md5(string_agg(chr, ',' ORDER BY chr, start, "end")) || ',' || md5(string_agg(CAST(start AS VARCHAR), ',' ORDER BY chr, start, "end")) || ',' || md5(string_agg(CAST("end" AS VARCHAR), ',' ORDER BY chr, start, "end"))) AS identifier FROM sets GROUP BY set_id""")
+def set_identifiers(t):
+    return digests.set_identifiers(t.sets, ["set_id"])
+
+
+# time: sessions are clusters of events with a gap
+
+
+@query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)
+SELECT user_id, count(*) AS n, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS micros FROM g GROUP BY user_id, s""")
+def event_sessions(t):
+    s = F.session_window("ts", "30 minutes")
+    return t.read("events").groupBy("user_id", s).agg(F.count("*").alias("n"), (F.unix_micros(F.max(C("ts").cast("timestamp"))) - F.unix_micros(F.min(C("ts").cast("timestamp")))).alias("micros")).drop("session_window")
+
+
+@query("SELECT event_type, CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS day, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_days(t):
+    w = F.window("ts", "1 day")
+    return t.read("events").groupBy("event_type", w).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select("event_type", F.unix_micros(C("window.start").cast("timestamp")).alias("day"), "n", "value")
