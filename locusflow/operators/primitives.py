@@ -42,7 +42,8 @@ def with_islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP
     x = x.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start")))
     x = x.drop("__bin", "__reach")
     x = carried(x, keys, "start", size, {"new": F.max("__new")}, {"__before": ("new", "max")})
-    first = F.greatest(F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before"))
+    # the frame holds all peers: of equal rows, any one may be the one that began the island
+    first = F.greatest(F.max("__new").over(w), F.col("__before"))
     return x.withColumn("__first", first).drop("__bin", "__before", "__new")
 
 
