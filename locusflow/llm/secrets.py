@@ -40,8 +40,6 @@ RULES = (
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
 RULE_VERSION = "1"
-#: So many unseen blobs, 100 bytes each, are broadcast; more are a shuffled hash table.
-BROADCAST_ROWS = 50_000
 SCANNED = "blob string"
 FINDINGS = "blob string, n_assign bigint, n_access bigint, n_hex bigint, spans string"
 
@@ -101,8 +99,7 @@ class Ledger:
         paths = materialize(keyed.select("path", "blob", "__row"), "paths")
         unseen = paths.groupBy("blob").agg(F.min("__row").alias("__row")).join(self.scanned().select("blob"), "blob", "left_anti")
         unseen = materialize(unseen.withColumn("__new", F.lit(True)), "unseen")
-        few = unseen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = keyed.select("blob", "__row", F.col(text_col).alias("text")).join(F.broadcast(unseen) if few else unseen.hint("shuffle_hash"), ["blob", "__row"])
+        texts = keyed.select("blob", "__row", F.col(text_col).alias("text")).join(unseen.hint("shuffle_hash"), ["blob", "__row"])
         # a text that hangs on the ledger's side can't be scanned before the join
         texts = texts.select("blob", F.when(F.col("__new"), F.col("text")).alias("text"))
         self.add(unseen.select("blob"), scan(texts, rules))
