@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions import digests
-from locusflow.operators import coverage, enrichment, overlaps, ranges, scoring, statistics
+from locusflow.operators import alignments, coverage, enrichment, genes, overlaps, ranges, scoring, sequences, signal, statistics, variants
 from locusflow.plans.adapters import Tables, with_views
 
 C = F.col
@@ -468,6 +468,115 @@ def set_identifiers(t):
     return digests.set_identifiers(t.sets, ["set_id"])
 
 
+# signal, reads, genes
+
+
+_SIGNAL = """WITH m AS (SELECT chr, start, "end", 'x' AS condition, CAST(id * 7 % 101 AS DOUBLE) AS value FROM iv_b UNION ALL SELECT chr, start, "end", 'y', CAST(id * 13 % 37 AS DOUBLE) FROM iv_b),
+r AS (SELECT a.id AS id, condition, max(value) AS value FROM iv_a a JOIN m ON a.chr = m.chr AND a.start < m."end" AND a."end" > m.start GROUP BY a.id, condition)"""
+
+
+def _region_signal(t):
+    x = t.b.select("chr", "start", "end", (C("id") * 7 % 101).cast("double").alias("x"), (C("id") * 13 % 37).cast("double").alias("y"))
+    return signal.region_signal(t.a, x.unpivot(["chr", "start", "end"], ["x", "y"], "condition", "value"))
+
+
+@query(_SIGNAL + " SELECT id, condition, value FROM r")
+def region_signal(t):
+    return _region_signal(t).select("id", "condition", "value")
+
+
+@query(_SIGNAL + """, l AS (SELECT condition, list_sort(list(value)) AS v, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY condition),
+h AS (SELECT *, (v[(n + 1) // 2] + v[(n + 2) // 2]) / 2 AS median, ((n + 3) // 2) / 2 AS d FROM l),
+g AS (SELECT *, (v[CAST(floor(d) AS BIGINT)] + v[CAST(ceil(d) AS BIGINT)]) / 2 AS lower_hinge, (v[CAST(floor(n + 1 - d) AS BIGINT)] + v[CAST(ceil(n + 1 - d) AS BIGINT)]) / 2 AS upper_hinge FROM h)
+SELECT condition, list_min(list_filter(v, lambda x: x >= lower_hinge - 1.5 * (upper_hinge - lower_hinge))) AS lower_whisker, lower_hinge, median, upper_hinge,
+  list_max(list_filter(v, lambda x: x <= upper_hinge + 1.5 * (upper_hinge - lower_hinge))) AS upper_whisker FROM g""")
+def signal_summary(t):
+    return signal.five_numbers(_region_signal(t))
+
+
+_READS = """WITH reads AS (SELECT l_orderkey AS qname, 1 + 64 * l_linenumber + CASE WHEN l_partkey % 9 = 0 THEN 1024 ELSE 0 END AS flag, CASE WHEN l_orderkey % 7 = 0 THEN 'chrM' ELSE 'chr' || (l_orderkey % 7) END AS chr,
+  l_partkey % 40 AS pos, l_suppkey % 3 AS tlen, CAST(l_quantity AS BIGINT) + 25 AS mapq, l_linenumber AS mate, l_partkey * 1000000 + l_suppkey AS line FROM lineitem WHERE l_linenumber < 3),
+k AS (SELECT * FROM reads WHERE mapq >= 30), u AS (SELECT * FROM k WHERE chr <> 'chrM'),
+e AS (SELECT chr, qname, mate, arg_max(pos, line) AS pos, arg_max(tlen, line) AS tlen FROM u GROUP BY ALL),
+c AS (SELECT count(*) AS n FROM e a JOIN e b ON a.qname = b.qname AND a.mate = 1 AND b.mate = 2 GROUP BY a.chr, a.pos, a.tlen, b.pos, b.tlen),
+s AS (SELECT coalesce(sum(n), 0) AS total, count(*) AS distinct_, count(*) FILTER (n = 1) AS one, count(*) FILTER (n = 2) AS two FROM c)
+SELECT CAST(total AS BIGINT) AS total, distinct_ AS "distinct", one, two, (SELECT count(*) FROM k WHERE flag >= 1024) AS duplicates, (SELECT count(*) FROM k WHERE chr = 'chrM') AS mito,
+  one / greatest(total, 1) AS nrf, one / greatest(distinct_, 1) AS pbc1, one / greatest(two, 1) AS pbc2 FROM s"""
+
+
+@query(_READS)
+def library_complexity(t):
+    l, key = t.read("lineitem").filter("l_linenumber < 3"), C("l_orderkey")
+    flag = 1 + 64 * C("l_linenumber") + F.when(C("l_partkey") % 9 == 0, 1024).otherwise(0)
+    chr_ = F.when(key % 7 == 0, "chrM").otherwise(F.concat(F.lit("chr"), key % 7))
+    pos, tlen = (C("l_partkey") % 40).cast("long"), (C("l_suppkey") % 3).cast("long")
+    return alignments.library_complexity(l.select(key.alias("qname"), flag.cast("long").alias("flag"), chr_.alias("chr"), pos.alias("pos"), tlen.alias("tlen"), (C("l_quantity").cast("long") + 25).alias("mapq"), F.lit(0).cast("long").alias("length"), (C("l_partkey") * 1000000 + C("l_suppkey")).alias("line")))
+
+
+@query(_PART + """, f AS (SELECT a.id, coalesce(min(priority), 3) AS k FROM iv_a a LEFT JOIN h ON h.id = a.id GROUP BY a.id), o AS (SELECT partition, k, CAST(count(f.k) AS DOUBLE) AS observed FROM names LEFT JOIN f USING (k) GROUP BY partition, k),
+w AS (SELECT priority AS k, sum("end" - start) AS bp FROM parts GROUP BY priority), g AS (SELECT (SELECT sum(size) FROM sizes) AS genome, (SELECT sum(bp) FROM w) AS covered, (SELECT sum(observed) FROM o) AS total),
+e AS (SELECT partition, observed, CASE WHEN k = 3 THEN greatest(genome - covered, 0) ELSE coalesce(bp, 0) END / genome * total AS expected FROM o LEFT JOIN w USING (k), g)
+SELECT partition, observed, round(expected, 4) AS expected, round(CASE WHEN observed = 0 THEN CAST('-inf' AS DOUBLE) WHEN expected = 0 THEN CAST('inf' AS DOUBLE) ELSE log10(observed / nullif(expected, 0)) END, 6) AS log10_oe FROM e""")
+def expected_partitions(t):
+    parts = t.parts.withColumn("partition", F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (C("priority") + 1).cast("int")))
+    x = genes.expected(statistics.partition_counts(t.a, t.parts, _NAMES), parts, t.sizes)
+    return x.select("partition", "observed", F.round("expected", 4).alias("expected"), F.round("log10_oe", 6).alias("log10_oe"))
+
+
+# sequence collections: a collection for each source, and alleles
+
+
+@query(_SEQ + " SELECT doc_id, start, substr(seq, CAST(start + 1 AS INTEGER), 40) AS bases FROM d, (SELECT unnest([10, 4090, 8180]) AS start)")
+def sequence_regions(t):
+    s = _sequences(t).select(C("doc_id").cast("string").alias("name"), "doc_id", "seq")
+    regions = s.select("name", "doc_id", F.explode(F.array(F.lit(10), F.lit(4090), F.lit(8180))).alias("start"))
+    regions = regions.withColumn("end", C("start") + 40).withColumn("id", F.concat_ws(":", "name", "start"))
+    return sequences.extract(sequences.chunks(s), regions).select("doc_id", "start", "bases")
+
+
+def _arrays(t):
+    named = t.read("documents").select("doc_id", F.coalesce("source", F.lit("")).alias("collection")).join(_sequences(t), "doc_id")
+    return sequences.level2(named.select("collection", C("doc_id").alias("ord"), F.concat(F.lit("s"), C("doc_id") % 100).alias("name"), "seq"))
+
+
+@query()
+def collection_digests(t):
+    return sequences.level1(_arrays(t))
+
+
+@query(_SEQ + """, x AS (SELECT coalesce(source, '') AS c, 's' || (doc_id % 100) AS name, length(seq) AS length, doc_id FROM documents JOIN d USING (doc_id)),
+v AS (SELECT c, 'names' AS attribute, name AS value, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT c, 'lengths', CAST(length AS VARCHAR), count(*) FROM x GROUP BY ALL),
+m AS (SELECT c, attribute, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY ALL),
+o AS (SELECT a.c AS a, b.c AS b, a.attribute AS attribute, CAST(sum(least(a.n, b.n)) AS BIGINT) AS a_and_b FROM v a JOIN v b ON a.attribute = b.attribute AND a.value = b.value GROUP BY ALL)
+SELECT m.c AS a, z.c AS b, m.attribute AS attribute, m.n AS a_count, z.n AS b_count, coalesce(a_and_b, 0) AS a_and_b FROM m JOIN m z ON m.attribute = z.attribute AND m.c < z.c LEFT JOIN o ON o.a = m.c AND o.b = z.c AND o.attribute = m.attribute""")
+def compare_collections(t):
+    e = sequences.elements(_arrays(t), ("names", "lengths"))
+    c = t.read("documents").select(F.coalesce("source", F.lit("")).alias("a")).distinct()
+    pairs = c.join(c.withColumnRenamed("a", "b"), C("a") < C("b"))  # the sources, a few
+    return sequences.compare(e, pairs).drop("same_order")
+
+
+def _alleles(t):
+    s = _sequences(t).filter(F.length("seq") > 40)
+    v = s.select(C("doc_id").alias("id"), C("doc_id").cast("string").alias("name"), (10 + C("doc_id") % 20).cast("long").alias("start"), "seq")
+    ref = C("seq").substr(C("start").cast("int") + 1, F.lit(1) + (C("id") % 3).cast("int"))
+    v = v.withColumn("ref", ref).withColumn("alt", F.concat(F.substring("ref", 1, 1), F.when(C("id") % 2 == 0, C("ref")).otherwise("")))
+    return v.drop("seq"), sequences.chunks(s.select(C("doc_id").cast("string").alias("name"), "seq")), s
+
+
+@query()
+def normalized_alleles(t):
+    v, pieces, _ = _alleles(t)
+    return variants.normalized(v, pieces)
+
+
+@query()
+def allele_identifiers(t):
+    v, pieces, s = _alleles(t)
+    names = s.select(C("doc_id").cast("string").alias("name"), F.concat(F.lit("SQ."), digests.sha512t24u(C("seq"))).alias("accession"))
+    return variants.identified(v, pieces, names).select("id", "start", "end", "allele", "vrs_id")
+
+
 # time: sessions are clusters of events with a gap
 
 
