@@ -55,24 +55,23 @@ def resize(df: DataFrame, width: int, fix: str = "start") -> DataFrame:
         return _set(df, C("start"), C("start") + width)
     if fix == "end":
         return _set(df, _floor0(C("end") - width), C("end"))
-    start = _floor0(C("start") + F.floor(width() / 2) - width // 2)
+    start = _floor0(midpoint() - width // 2)
     return _set(df, start, start + width)
 
 
 def narrow(df: DataFrame, start: int | None = None, end: int | None = None, width: int | None = None) -> DataFrame:
-    """start and end are positions in the region, from 1, both included."""
-    if start is not None and end is not None:
-        a, b = C("start") + start - 1, C("start") + end
-    elif start is not None:
-        a = C("start") + start - 1
-        b = C("end") if width is None else a + width
-    elif end is not None:
-        b = C("start") + end
-        a = C("start") if width is None else b - width
+    """start and end are positions in the region, from 1, both included. Two of
+    the three fix the range; with one, none or all of them the region stays. What
+    is outside of the region is cut, and a range given backwards is turned."""
+    if (start is None) + (end is None) + (width is None) != 1:
+        return _set(df, C("start"), C("end"))
+    if start is None:
+        first, last = max(end - width, 0), end
     else:
-        a, b = C("start"), C("end") if width is None else C("start") + width
-    a, b = F.least(F.greatest(a, C("start")), C("end")), F.least(b, C("end"))
-    return _set(df, a, F.greatest(a, b))
+        first = max(start - 1, 0)
+        last = end if end is not None else first + width
+    a, b = (F.least(C("start") + n, C("end")) for n in (first, last))
+    return _set(df, F.least(a, b), F.greatest(a, b))
 
 
 def promoters(df: DataFrame, up: int, down: int, stranded: bool = False) -> DataFrame:

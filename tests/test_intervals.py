@@ -112,3 +112,13 @@ def test_tables_of_counts():
     assert hypergeometric.fisher_greater(3, 1, 1, 3) == pytest.approx(17 / 70)
     assert hypergeometric.odds_ratio(3, 1, 1, 3) == pytest.approx(6.408309, rel=1e-5)
     assert hypergeometric.odds_ratio(5, 0, 0, 5) == float("inf") and hypergeometric.odds_ratio(0, 5, 5, 5) == 0
+
+
+def test_resize_and_narrow(spark):
+    df = spark.createDataFrame([("c", 5, 16)], "chr string, start long, end long")
+    at = lambda x: tuple(x.select("start", "end").first())
+    assert [at(ranges.resize(df, 4, fix)) for fix in ("start", "end", "center")] == [(5, 9), (12, 16), (8, 12)]
+    assert at(ranges.resize(df, 40, "center")) == (0, 40)
+    cases = {(3, None, 4): (7, 11), (3, 6, None): (7, 11), (None, 6, 4): (7, 11), (None, 3, 9): (5, 8), (9, 40, None): (13, 16), (0, None, 4): (5, 9), (8, 3, None): (8, 12)}
+    assert {k: at(ranges.narrow(df, *k)) for k in cases} == cases
+    assert {at(ranges.narrow(df, *k)) for k in ((3, None, None), (None, 3, None), (None, None, 3), (1, 2, 2), (None, None, None))} == {(5, 16)}
