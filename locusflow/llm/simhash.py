@@ -13,6 +13,12 @@ Defined cases: a null text has no words, and texts without words have
 fingerprint 0, linked like any other; fewer words than a shingle give one
 shingle of all words; ties and repeated rows share a component; rows with a null
 id keep a row and take no part in the least id; an empty table stays empty.
+
+The pipeline's stage (keep_one) is about similarity instead: five-word shingles
+and a Jaccard index of 0.8 or more. Such texts differ in up to a dozen bits, and
+balls of that radius have millions of variants. So candidates come from MinHash
+bands, their components are gathered, and in each the true similarities decide:
+two sets of 0.8 share no band once in 10^11 times.
 """
 
 from __future__ import annotations
@@ -29,6 +35,11 @@ from locusflow.llm.common import materialize, prepare, with_row_key
 
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
 BLOCK = 1 << 16
+#: The stage's shingle, its least Jaccard index as a fraction, and the bands of its signatures with the minima in each.
+STAGE_SHINGLE, LEAST, BANDS, MINIMA = 5, (4, 5), 64, 5
+_RNG = np.random.default_rng(42)
+_FACTORS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint32(1)
+_TERMS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -106,11 +117,102 @@ def op6_result(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text in lower case; none without words."""
+    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - shingle + 1)].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[x:y]) for x, y in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key a band: equal where all minima of the band are."""
+    low = np.full(BANDS * MINIMA, (1 << 32) - 1, np.uint32)
+    half = hashes.astype(np.uint32)
+    for at in range(0, len(half), 256):
+        np.minimum(low, (half[at : at + 256, None] * _FACTORS + _TERMS).min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, MINIMA))], np.uint64).view(np.int64)
+
+
+def similar_roots(sets: list[np.ndarray]) -> np.ndarray:
+    """By set, the number of the first of its component; sets are linked by a Jaccard
+    index of LEAST or more. Each set reached is held against all sets not reached yet."""
+    p, q = LEAST
+    sizes = np.array([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    roots, mark = np.full(len(sets), -1), np.zeros(sum(map(len, sets)) + 1, bool)
+    who = np.argsort(sizes, kind="stable")
+    who = who[sizes[who] > 0]
+
+    def packed(who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate([ids[i] for i in who]) if len(who) else np.empty(0, np.int64)
+        return flat, np.concatenate(([0], np.cumsum(sizes[who]))), sizes[who]
+
+    flat, starts, size = packed(who)
+    for first in range(len(sets)):
+        if roots[first] >= 0:
+            continue
+        roots[first], queue = first, [first]
+        while queue:
+            x = queue.pop()
+            n = int(sizes[x])
+            lo, hi = np.searchsorted(size, -(-p * n // q)), np.searchsorted(size, q * n // p, side="right")
+            if not n or lo >= hi:
+                continue
+            mark[ids[x]] = True
+            shared = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            mark[ids[x]] = False
+            near = who[lo:hi][(q + p) * shared >= p * (size[lo:hi] + n)]
+            near = near[roots[near] < 0]
+            roots[near] = first
+            queue += near.tolist()
+            open_ = roots[who] < 0
+            if 2 * np.count_nonzero(open_) < len(who):
+                who = who[open_]
+                flat, starts, size = packed(who)
+    return roots
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__row") -> DataFrame:
+    """doc_id, key (a column of docs that tells its rows apart) and component, equal for texts linked by similarity."""
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("struct<same:bigint,bands:array<bigint>>")
+    def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            sets = [shingle_set(t) for t in texts]
+            yield pd.DataFrame({"same": np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64), "bands": [band_keys(x) for x in sets]})
+
+    @F.pandas_udf("binary")
+    def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([shingle_set(t).tobytes() for t in texts])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        same = group["same"].to_numpy()
+        return pd.DataFrame({"same": same, "root": same[similar_roots([np.frombuffer(x, np.uint64) for x in group["hashes"]])]})
+
+    found = docs.select(F.col(id_col).alias("doc_id"), key, signed(F.col(text_col)).alias("x"))
+    rows = materialize(found.select("doc_id", key, "x.same", "x.bands"), "signatures")
+    classes = materialize(rows.groupBy("same").agg(F.min(F.struct(key, "bands")).alias("x")).select("same", f"x.{key}", "x.bands"), "distinct")
+    bands = classes.select("same", F.explode("bands").alias("v")).withColumn("a", F.min("same").over(Window.partitionBy("v")))
+    edges = bands.filter("a != same").select("a", F.col("same").alias("b")).distinct()
+    labels = components(edges).select(F.col("node").alias("same"), "label")
+    chosen = materialize(classes.select("same", key).join(labels, "same"), "candidates")
+    sets = docs.select(key, text_col).join(chosen.hint("shuffle_hash"), key).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
+    roots = materialize(sets.groupBy("label").applyInPandas(settle, "same bigint, root bigint"), "roots")
+    return rows.join(roots, "same", "left").select("doc_id", key, F.coalesce("root", "same").alias("component"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but one of each near-duplicate group: the row
+    """The documents without all but one of each group of near copies: the row
     with the least id stays, the first by row key among rows that share it."""
     names = docs.columns
     keyed = with_row_key(docs)
-    found = materialize(near_duplicates(keyed, id_col, text_col, keep=("__row",)), "found")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
+    found = materialize(near_copies(keyed, id_col, text_col), "found")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
     return keyed.join(materialize(best, "kept").hint("shuffle_hash"), "__row", "left_semi").select(*names)

@@ -174,6 +174,30 @@ def test_keep_one_keeps_columns_and_a_row_of_each_group(docs):
     assert {3, 6} <= {r.doc_id for r in rows} and not {4, 5} & {r.doc_id for r in rows}
 
 
+def test_keep_one_links_similar_texts_and_no_others(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(5, 300)))]
+        for _ in range(6):
+            copy = list(words)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 2 + len(words) // 30))):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), "  ".join(copy).upper() if len(rows) % 2 else " ".join(copy)))
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, label = [grams(t) for _, t in rows], list(range(len(rows)))
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any((plain_fingerprint(rows[a][1]) ^ plain_fingerprint(rows[b][1])).bit_count() > 2 for a, b in near)
+    for _ in rows:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(label)) and len(set(label)) > 25
+
+
 # mixing
 
 def plain_targets(sizes):
