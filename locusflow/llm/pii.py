@@ -87,11 +87,9 @@ INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-_GLYPH = re.compile("[\u00ad\u00b2\u00b3\u00b9\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2012\u2024\u2060\u2070-\u2089\u2212\u2460-\u24ff\u3002\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 _WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+))*[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+)(?![^\W_])")
 _PIECE = re.compile(rf"(?i)plus|{_WORD}|[0-9]+")
-_SEEN_WORD = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "one one")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _BRACKET = re.compile(rf"(?i)\s*{_OPEN}\s{{0,3}}(at|dot|punkt|point|punto|@|\.)\s{{0,3}}{_CLOSE}\s*")
 _PLAIN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:\s(at)\s|@)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
@@ -103,6 +101,11 @@ _DOT_IP = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9
 MIN_SPELLED = 7
 
 
+# What each transducer needs at least to change a text; in lower case, without glyphs to rewrite.
+_SEEN_SPELLED = re.compile(rf"{_WORD}[\s,.-]{{1,3}}(?:{_WORD}|[0-9])|[0-9][\s,.-]{{1,3}}{_WORD}")
+_SEEN_AT = re.compile(r"\sdot\s|\s@|@\s|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.)")
+
+
 class Mapped:
     """A text whose characters know the source range they stand for."""
 
@@ -140,8 +143,19 @@ def _plain_glyph(c: str) -> str:
     return n if len(n) == 1 and n.isascii() else c
 
 
+class _Glyphs(dict):
+    """What each character met so far is rewritten to."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = n = c if c.isascii() else _plain_glyph(c)
+        return n
+
+
+_PLAIN_OF = _Glyphs()
+
+
 def _glyphs(m: Mapped) -> None:
-    m.rewrite([(i, i + 1, n) for i, c in enumerate(m.text) if not c.isascii() and (n := _plain_glyph(c)) != c])
+    m.rewrite([(i, i + 1, n) for i, c in enumerate(m.text) if (n := _PLAIN_OF[c]) != c])
 
 
 def _spelled(m: Mapped) -> None:
@@ -169,10 +183,11 @@ def _at_dot(m: Mapped) -> None:
 
 
 def disguised(text: str) -> bool:
-    if not text.isascii() and _GLYPH.search(text):
+    """False only if no transducer would change the text."""
+    if not text.isascii() and any(_PLAIN_OF[c] != c for c in set(text)):
         return True
     low = text.lower()
-    return " dot " in low or " at " in low and "@" in low or any(w in low for w in _SEEN_WORD) or bool(_BRACKET.search(text))
+    return bool(_SEEN_AT.search(low) or _SEEN_SPELLED.search(low) or _BRACKET.search(text))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -102,6 +102,27 @@ def test_clean_texts_stay_clean():
         assert pii.find(t) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "4539\u00a05787\u20076362\u202f1486", "call +1\u2013132\u2013555\u20131352", "write to john.doe at example.com today",
+        "bob\nat\texample\ndot\ncom", "192\tdot\n168 dot 1 dot 20", "৪৫৩৯৫৭৮৭৬৩৬২১৪৮৬", "โทร +๑๓๒๕๕๕๑๓๕๒", "mail bob @ example.com",
+    ],
+)
+def test_guard_lets_disguises_through(source):
+    assert len(pii.find(source)[1]) == 1
+
+
+def test_guard_loses_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = [" ", " ", "\n", "\t", "at", " at ", "dot", " dot ", "@", " @ ", "bob", "example", ".", "com", "[at]", "(dot)", "one", "oh", "two", "seven", "12", "1", "-", "+", ",", "plus", "192", "b", "é", "ſ", *pii.HOMOGLYPHS, *pii.INVISIBLE, "৪", "๗", "²", "５", "K", "İ"]
+    texts = ["".join(rng.choice(parts[: 35 if k % 2 else None], rng.integers(1, 16))) for k in range(20000)]
+    guarded = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda t: True)
+    for t, x in zip(texts, guarded):
+        assert pii.find(t) == x, t
+
+
 def test_pii_query(docs, none):
     got = pii.detect_pii(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("me@mail.example.com"))))
     rows = got.collect()
