@@ -86,24 +86,34 @@ HOMOGLYPHS = {
 INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "una": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_WORD = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+))*[\s,.-]{{1,3}}(?:{_WORD}|[0-9]+)(?![^\W_])")
-_PIECE = re.compile(rf"(?i)plus|{_WORD}|[0-9]+")
+_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_GAP = r"[\s,.()-]{1,3}"
+_SPELLED = re.compile(rf"(?i)(?:(?<![^\W_])(?:plus|más|mas)[\s-]+|\+\s?)?(?<![^\W_])(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*{_GAP}(?:{_WORD}|[0-9]+)(?![^\W_])")
+_PIECE = re.compile(rf"(?i)plus|más|mas|\+|{_WORD}|[0-9]+")
+_AT_WORDS, _DOT_WORDS = "at|arroba|arobase|arrobase", "dot|punkt|point|punto"
+_DOTS = frozenset([*_DOT_WORDS.split("|"), "."])
+_OCTET = rf"(?:(?:{_WORD}|[0-9])(?:[\s-]{{1,2}}(?:{_WORD}|[0-9])){{0,2}}|[0-9]{{1,3}})"
+_SPELLED_IP = re.compile(rf"(?i)(?<![^\W_])(?<![0-9]\.){_OCTET}(?:(?:\s+(?:{_DOT_WORDS})\s+|\.){_OCTET}){{3}}(?![^\W_])")
+_IP_DOT = re.compile(rf"(?i)\s+(?:{_DOT_WORDS})\s+|\.")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKET = re.compile(rf"(?i)\s*{_OPEN}\s{{0,3}}(at|dot|punkt|point|punto|@|\.)\s{{0,3}}{_CLOSE}\s*")
-_PLAIN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*\s*(?:\s(at)\s|@)\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
-#: Last labels that plain words at and dot may lead to; names that are common words are left out.
-TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app ai tv uk de fr es nl eu ch ru cn jp br pl se no dk fi pt ca au example test invalid localhost".split())
-_PLAIN_PART = re.compile(r"(?i)\s+(at|dot)\s+|\s*(@)\s*")
-_DOT_IP = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9])")
-#: So many digits must be spelled in a row before a run of digit words is rewritten.
+_BRACKET = re.compile(rf"(?i)\s*{_OPEN}\s{{0,3}}({_AT_WORDS}|{_DOT_WORDS}|@|\.)\s{{0,3}}{_CLOSE}\s*")
+_PLAIN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9_%+-]+)*\s*(?:\s({_AT_WORDS})\s|@)\s*[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORDS})\s+|\.)[A-Za-z0-9-]+)+")
+#: Last labels that a plain word at may lead to; names that are common words are left out.
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app ai tv uk de fr es nl eu ch ru cn jp br pl se no dk fi pt ca au example test invalid localhost mx kr xyz online site shop cloud tech club cz hu gr tr ua ro sk ie il sg hk tw nz za cl pe cat eus swiss berlin gmbh".split())
+#: After a real @, or one in brackets, any name of letters may be last.
+_LABEL = re.compile(r"(?i)[a-z]{2,}|xn--[a-z0-9-]+")
+_PLAIN_PART = re.compile(rf"(?i)\s+({_AT_WORDS}|{_DOT_WORDS})\s+|\s*(@)\s*")
+_DOT_IP = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:\s+(?:{_DOT_WORDS})\s+[0-9]{{1,3}}){{3}}(?![0-9])")
+#: So many digit words in a row are rewritten even where no detector takes them by themselves.
 MIN_SPELLED = 7
 
-
 # What each transducer needs at least to change a text; in lower case, without glyphs to rewrite.
-_SEEN_SPELLED = re.compile(rf"{_WORD}[\s,.-]{{1,3}}(?:{_WORD}|[0-9])|[0-9][\s,.-]{{1,3}}{_WORD}")
-_SEEN_AT = re.compile(r"\sdot\s|\s@|@\s|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.)")
+_SEEN_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}{_GAP}(?:{_WORD}|[0-9])|[0-9]+{_GAP}{_WORD})")
+_SEEN_AT = re.compile(rf"\s(?:{_DOT_WORDS})\s+[a-z0-9_%+-]|\s@|@\s|\s(?:{_AT_WORDS})\s+[a-z0-9-]+(?:\s+(?:{_DOT_WORDS})\s|\.)")
 
 
 class Mapped:
@@ -158,24 +168,47 @@ def _glyphs(m: Mapped) -> None:
     m.rewrite([(i, i + 1, n) for i, c in enumerate(m.text) if (n := _PLAIN_OF[c]) != c])
 
 
+def _brackets(m: Mapped) -> None:
+    m.rewrite([(*x.span(), "." if x[1].lower() in _DOTS else "@") for x in _BRACKET.finditer(m.text)])
+
+
+def _octets(run: str) -> str | None:
+    parts = _IP_DOT.split(run)
+    parts = ["".join(DIGIT_WORDS.get(p.lower(), p) for p in _PIECE.findall(x)) for x in parts]
+    return ".".join(parts) if all(int(p) <= 255 for p in parts) else None
+
+
+def _number(run: str) -> tuple[int, int, str] | None:
+    """The widest part of a run of digit words and digits, from its first word and to its last one at least, that is a number to the detectors."""
+    found = list(_PIECE.finditer(run))
+    pieces = [DIGIT_WORDS.get(x[0].lower(), x[0] if x[0].isdigit() else "+") for x in found]
+    words = [k for k, x in enumerate(found) if x[0].lower() in DIGIT_WORDS]
+    if not words:
+        return None
+    for a in dict.fromkeys((0, int(pieces[0] == "+"), words[0])):
+        for b in dict.fromkeys((len(found), words[-1] + 1)):
+            digits = "".join(pieces[a:b])
+            if any((s, e) == (0, len(digits)) for _, s, e in detect(digits)):
+                return found[a].start(), found[b - 1].end(), digits
+    if len(words) >= MIN_SPELLED:
+        a = 0 if pieces[0] == "+" or len(pieces[0]) == 1 else words[0]
+        return found[a].start(), found[-1].end(), "".join(pieces[a:])
+    return None
+
+
 def _spelled(m: Mapped) -> None:
-    edits = []
-    for x in _SPELLED.finditer(m.text):
-        pieces = [p.lower() for p in _PIECE.findall(x[0])]
-        digits = "".join(DIGIT_WORDS.get(p, "+" if p == "plus" else p) for p in pieces)
-        if sum(p in DIGIT_WORDS for p in pieces) >= MIN_SPELLED:
-            edits.append((*x.span(), digits))
-    m.rewrite(edits)
+    m.rewrite([(*x.span(), n) for x in _SPELLED_IP.finditer(m.text) if (n := _octets(x[0])) and n != x[0]])
+    m.rewrite([(x.start() + n[0], x.start() + n[1], n[2]) for x in _SPELLED.finditer(m.text) if (n := _number(x[0]))])
 
 
 def _at_dot(m: Mapped) -> None:
-    m.rewrite([(*x.span(), "@" if x[1].lower() in ("at", "@") else ".") for x in _BRACKET.finditer(m.text)])
     edits = {}
     for x in _PLAIN.finditer(m.text):
-        if re.split(r"\.|\s", x[0])[-1].lower() not in TOP_LEVEL:
+        last = re.split(r"\.|\s", x[0])[-1].lower()
+        if last not in TOP_LEVEL and (x[1] or not _LABEL.fullmatch(last)):
             continue
         for p in _PLAIN_PART.finditer(m.text, *x.span()):
-            edits[p.start()] = (*p.span(), "." if (p[1] or "").lower() == "dot" else "@")
+            edits[p.start()] = (*p.span(), "." if (p[1] or "").lower() in _DOTS else "@")
     for x in _DOT_IP.finditer(m.text):
         for p in _PLAIN_PART.finditer(m.text, *x.span()):
             edits[p.start()] = (*p.span(), ".")
@@ -198,7 +231,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not disguised(text):
         return base, base
     m = Mapped(text)
-    for step in (_glyphs, _spelled, _at_dot):
+    for step in (_glyphs, _brackets, _spelled, _at_dot):
         step(m)
     if isinstance(m.starts, range):
         return base, base
