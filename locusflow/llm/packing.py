@@ -4,12 +4,14 @@ Tokenisation is one pass over the texts; a document longer than a sequence is
 cut, so that all pieces but the first are full. Only the number of pieces by
 length, at most capacity rows, goes to the driver: pieces of one length are
 alike, so packing is over this histogram, however large the corpus is. The
-largest length left is the bin's first item; the undominated fillings of the
-rest of the bin are enumerated, depth first, fullest first, and those that waste
-more than the bound allows are pruned. The best-fit filling is the incumbent. A
-filling is used as often as its lengths last, so each filling uses up a length.
-The whole best-fit packing is the incumbent of the whole search: its result
-stays if completion is not better. Pieces take the places for their length by
+largest length left is the bin's first item; fillings of the rest that no other
+one dominates are enumerated, and the search branches over them, least waste
+first, each as often as its lengths last or once, and backtracks. A branch ends
+if its bins and the volume left reach the incumbent, at first the whole best-fit
+packing, or if what is left has been met with as few bins. The search ends when
+the incumbent is at a lower bound, when nothing is left to try, or at its caps:
+NODES partial fillings a bin and SEARCH in all after the first descent.
+Pieces take the places for their length by
 rank: rank in the task plus the count of earlier tasks, no window over a length.
 
 Defined cases: a null text is empty and has its end token only; repeated rows
@@ -20,11 +22,13 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +37,8 @@ from locusflow.llm.common import materialize, prepare
 
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Fillings looked at for a bin before the best so far is taken.
-NODES = 2000
+#: Partial fillings looked at for a bin, and for all bins once the search has turned back.
+NODES, SEARCH = 2000, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 #: How byte-level tokenizers of this kind split a text before merging bytes; a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,66 +130,118 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(k, n) for slot in open_.values() for k, n in slot.items()]
 
 
-def completion(counts: dict[int, int], lengths: list[int], room: int, bound: int) -> tuple[int, ...]:
-    """The filling of room with least waste found. lengths: those left, descending.
-    It starts from best fit; a branch whose waste can't get below the best is pruned, and
-    so is a filling that a longer single length dominates (it would leave less waste)."""
-    best, least, nodes = (), room, 0
-    left = dict(counts)
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound: for each k, what lengths of k or more need beside those over half."""
+    lengths = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in lengths.tolist()], np.int64)
+    best = -(-int((lengths * n).sum()) // capacity) if len(n) else 0
+    big = 2 * lengths > capacity
+    for k in [0, *lengths[~big].tolist()]:
+        alone, mid = big & (lengths > capacity - k), big & (lengths <= capacity - k)
+        small = ~big & (lengths >= k)
+        room = int(((capacity - lengths) * n)[mid].sum())
+        best = max(best, int(n[big].sum()) + max(0, -(-(int((lengths * n)[small].sum()) - room) // capacity)))
+    return best
+
 
-    def grow(at: int, chosen: tuple[int, ...], room: int) -> bool:
-        nonlocal best, least, nodes
-        if room < least:
-            best, least = chosen, room
+def dominated(filling: tuple[int, ...], slack: int, left: dict[int, int], present: int) -> bool:
+    """Whether a length left over could take the place of some of the filling (none, too), with less
+    waste, or of two or more with the same: what it replaces fits where it was. present: bits of left."""
+    one, two = 1, 0
+    for x in filling:
+        one, two = one | one << x, two | two << x | (one & ~1) << x
+    for x, c in Counter(filling).items():
+        if left[x] == c:
+            present &= ~(1 << x)
+    spread, width = one << 1, 1  # sums raised by 1 to width
+    if not slack:
+        return bool(two & present)
+    while width < slack:
+        step = min(width, slack - width)
+        spread, width = spread | spread << step, width + step
+    return bool((spread | two) & present)
+
+
+def fillings(left: dict[int, int], room: int, spare: int) -> tuple[list[tuple[int, ...]], int]:
+    """The undominated fillings of room that waste at most spare, least waste first, and the nodes taken."""
+    lengths = sorted((x for x in left if x <= room), reverse=True)
+    after = np.cumsum([0, *[x * left[x] for x in reversed(lengths)]])[::-1].tolist()  # volume from a length on
+    present = sum(1 << x for x in lengths)
+    found, others, stack, nodes = [], [], [(0, (), room)], 0
+    while stack and nodes < NODES:
+        at, chosen, free = stack.pop()
         nodes += 1
-        if least <= bound or nodes > NODES:
-            return True
-        tried = 0
-        for i in range(at, len(lengths)):
-            length = lengths[i]
-            if length > room or not left[length]:
-                continue
-            if chosen and tried >= 8 and nodes > NODES // 2:
+        if free <= spare:
+            (others if dominated(chosen, free, left, present) else found).append((free, chosen))
+        more = []
+        for i in range(bisect_left(lengths, -free, at, key=lambda x: -x), len(lengths)):
+            if free - after[i] > spare:
                 break
-            tried += 1
-            left[length] -= 1
-            done = grow(i, (*chosen, length), room - length)
-            left[length] += 1
-            if done:
-                return True
-        return False
-
-    grow(0, (), room)
-    return best
+            if chosen.count(lengths[i]) < left[lengths[i]]:
+                more.append((i, (*chosen, lengths[i]), free - lengths[i]))
+        stack += reversed(more)
+    if stack:  # at the cap, what dominates them may not have been reached
+        found = found or others
+    return [f for _, f in sorted(found, key=lambda x: x[0])], nodes
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times): bins that hold every piece once."""
     fit = best_fit(counts, capacity)
-    bins = sum(n for _, n in fit)
-    total = sum(k * n for k, n in counts.items())
-    if bins == -(-total // capacity):  # the waste bound of the whole: no packing has fewer
-        return fit
-    left, out, used = dict(counts), [], 0
-    spare = bins * capacity - total  # waste that the incumbent has
-    while left:
-        lengths = sorted(left, reverse=True)
-        largest = lengths[0]
+    best, bins = fit, sum(n for _, n in fit)
+    least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
+    left, taken, used, waste = dict(counts), [], 0, 0
+    seen: dict[int, int] = {}
+    budget, turned = SEARCH, False
+
+    def moves() -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal budget
+        state = xxhash.xxh3_128_intdigest(np.array(sorted(left.items()), np.int64).tobytes())
+        if seen.get(state, bins) <= used:
+            return
+        seen[state] = used
+        largest = max(left)
         left[largest] -= 1
-        filling = completion(left, [x for x in lengths if left[x]], capacity - largest, 0)
+        rest = {x: n for x, n in left.items() if n}
         left[largest] += 1
-        kind = (largest, *filling)
-        times = min(left[x] // c for x, c in Counter(kind).items())
+        found, nodes = fillings(rest, capacity - largest, (bins - 1) * capacity - total - waste)
+        budget -= nodes if turned else 0
+        for f in found:
+            kind = (largest, *f)
+            most = min(left[x] // c for x, c in Counter(kind).items())
+            yield from ((kind, t) for t in dict.fromkeys((most, 1)))
+
+    def take(kind: tuple[int, ...], times: int) -> None:
+        nonlocal used, waste
         for x, c in Counter(kind).items():
-            left[x] -= c * times
+            left[x] = left.get(x, 0) - c * times
             if not left[x]:
                 del left[x]
-        out.append((kind, times))
-        used += times
-        spare -= (capacity - sum(kind)) * times
-        if spare <= 0 and left and sum(n for _, n in out) + -(-sum(k * n for k, n in left.items()) // capacity) >= bins:
-            return fit  # it can't get below the incumbent any more
-    return out if used < bins else fit
+        used, waste = used + times, waste + (capacity - sum(kind)) * times
+
+    stack = [moves()] if left else []
+    while stack and bins > least and budget > 0:
+        move = next(stack[-1], None)
+        if move is None:
+            turned = True
+            stack.pop()
+            if taken:
+                kind, times = taken.pop()
+                take(kind, -times)
+            continue
+        if waste + (capacity - sum(move[0])) * move[1] > (bins - 1) * capacity - total:
+            continue  # the volume left needs as many bins as the incumbent
+        take(*move)
+        taken.append(move)
+        if left:
+            stack.append(moves())
+        else:
+            if used < bins:
+                best, bins = list(taken), used
+            taken.pop()
+            take(move[0], -move[1])
+            turned = True
+    return best
 
 
 def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

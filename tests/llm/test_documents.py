@@ -403,6 +403,44 @@ def test_bins_hold_each_length_and_reach_the_optimum():
     assert sum(t for _, t in packing.pack(hard, 100)) == 3
 
 
+def fewest(items, capacity):
+    """Bins of the best packing, by trying each item in each bin."""
+    best = len(items)
+
+    def grow(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= items[k]}:
+            i = rooms.index(r)
+            grow(k + 1, [*rooms[:i], r - items[k], *rooms[i + 1 :]])
+        grow(k + 1, [*rooms, capacity - items[k]])
+
+    grow(0, [])
+    return best
+
+
+def test_packing_branches_over_fillings():
+    lost = [66, 62, 61, 58, 51, 30, 27, 26, 26, 25, 20, 17, 12]
+    cases = [lost]
+    rng = np.random.default_rng(12)
+    cases += [sorted(rng.integers(8, 70, int(rng.integers(6, 12))).tolist(), reverse=True) for _ in range(60)]
+    for items in cases:
+        counts = {x: items.count(x) for x in items}
+        bins = packing.pack(counts, 100)
+        seen = {}
+        for kind, times in bins:
+            assert sum(kind) <= 100
+            for k in kind:
+                seen[k] = seen.get(k, 0) + times
+        assert seen == counts
+        assert packing.lower_bound(counts, 100) <= sum(t for _, t in bins) == fewest(items, 100), items
+    assert sum(t for _, t in packing.pack({x: lost.count(x) for x in lost}, 100)) == 5
+
+
 # classifiers
 
 def labelled(spark, n=400):
