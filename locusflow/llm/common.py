@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -58,15 +58,41 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Adds a 64-bit key from the Parquet file and row number. Copies of a row
-    get different keys; a frame that isn't a plain Parquet scan is written first."""
+def fresh(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with a key of two columns, and their names: a 64-bit hash of the Parquet
+    file's path, and the row's number in it. Copies of a row get different keys; a
+    frame that isn't a plain Parquet scan is written first."""
+    key = [fresh(df.columns, "__file"), fresh(df.columns, "__row")]
+
     def keyed(x: DataFrame) -> DataFrame:
-        return x.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+        at = x.metadataColumn("_metadata")
+        return x.select("*", F.xxhash64(at["file_path"]).alias(key[0]), at["row_index"].alias(key[1]))
 
     try:
-        return keyed(df)
+        return keyed(df), key
     except Exception as e:
         if "_metadata" not in str(e):
             raise
-    return keyed(materialize(df, "rows"))
+    return keyed(materialize(df, "rows")), key
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the sum of each column of sums over the rows before, in the given
+    order. Rows are sorted in ranges; only a row a range is summed over all."""
+    part = fresh([*df.columns, *sums], "__part")
+    x = df.repartitionByRange(*order).select("*", F.spark_partition_id().alias(part), *[c.alias(f"__v_{n}") for n, c in sums.items()])
+    x = materialize(x, "ranges")
+    per = x.groupBy(part).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(part, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__t_{n}") for n in sums])
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(per, part)
+    return x.select(*df.columns, *[(F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) + F.col(f"__t_{n}")).alias(n) for n in sums])

@@ -1,31 +1,47 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document should be copied target / source size times; the integral part is
-sure, the fraction is a probability. Documents are dealt to buckets by a hash.
-In a bucket and source, a fractional document and its partners (one document, or
-a run of smaller ones) move words of probability mass between them until one is
-integral: the words expected stay as they are in every step, and so do each
-document's expected copies. What is left undecided (at most one document a source and bucket) goes up a tree of buckets,
-64 to a node, and the last one of a source is rounded by its fraction.
+sure, the fraction is a probability, at first the same for all of a source. A
+step pairs a document with the pool of all smaller ones of its group, which
+share one probability: words of probability mass move between the two, up or
+down at random, as far as one of them becomes integral. Both ends and their odds
+are such that the words expected of the group stay as they are, and so does each
+document's expected number of copies. Largest documents come first, so what is
+left undecided at the end is a small one.
+
+Large documents of a source that is dealt to several buckets are settled against
+the pool of its whole rest, one task a source; they are at most MOST_LARGE.
+The rest is dealt to buckets by a hash; each leaves at most one document
+undecided. Those go up a tree of buckets, FAN_IN to a node, where documents of
+unequal probabilities are paired with all smaller ones or with one another, and
+the last one of a source is rounded by its fraction.
 
 Defined cases: a null text has size 0, is never copied; null is a source of its
-own, the last; ties are broken by hashes of the row, and rows equal in all
-columns are interchangeable; sources of size 0 have target 0; an empty table
-stays empty. The same table gives the same result, however it is partitioned.
+own, the last; ties are broken by hashes of the row, and rows equal in id, size
+and source are numbered, so that copies spread over buckets; sources of size 0
+have target 0; an empty table stays empty; the operator's own columns give way to
+columns of the table with their names. The same table gives the same result,
+however it is partitioned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialize, prepare, with_row_key
+from locusflow.llm.common import fresh, materialize, prepare, running, with_row_key
 
-#: Documents a bucket is meant to hold, and buckets that a node of the tree joins.
-BUCKET_ROWS, FAN_IN = 2000, 64
+#: Documents a bucket is meant to hold (more where few or nearly all are taken, to MOST_ROWS), and buckets that a node of the tree joins.
+BUCKET_ROWS, MOST_ROWS, FAN_IN = 2000, 50_000, 64
+#: Large documents have over 1 / LARGE of the words that a bucket is expected to take or leave, and over 1 / MOST_LARGE of their source.
+LARGE, MOST_LARGE = 4, 20_000
 MAX_COPIES = 3
+_EPS = 1e-9
 
 
 def word_count(text) -> F.Column:
@@ -35,100 +51,196 @@ def word_count(text) -> F.Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """source, source_size, target. sizes: a row per (source, source_size). The
-    windows are over this summary, a row a source. A source is capped if its
-    share at the level of those capped before it is above 3 times its size."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights)) + 1)
-    s = sizes.withColumn("w", cycle).withColumn("cap", F.col("source_size") * float(MAX_COPIES))
-    every = Window.partitionBy(F.lit(0))
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("all", F.sum("source_size").over(every).cast("double")).withColumn("all_w", F.sum("w").over(every))
-    left_w = F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    s = s.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / left_w)
-    s = s.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"])
-    return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
-
-
-def _settle(rows: pd.DataFrame, rng: np.random.Generator, last: bool) -> pd.DataFrame:
-    """rows of one source, largest first. Sets extra to 0 or 1 for all but at
-    most one of them, none if last. A document is paired with the shortest run
-    of the next smaller ones that can make it integral either way; the run gives
-    or takes in proportion. Where the rest is too small for that, pairs of two
-    are settled, and the smaller one becomes integral."""
-    size, p = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64).copy()
-    draws = rng.random(2 * len(p) + 1).tolist()
-    part = np.flatnonzero((p > 0) & (p < 1))
-    s, q = size[part], p[part]
+    """source, source_size, target. sizes: a row per (source, source_size). A
+    source is capped if its share at the level of those capped before it is above
+    3 times its size. Ranks and sums run over ranges of the sources."""
+    s = running(sizes, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = s.withColumn("w", cycle).withColumn("cap", F.col("source_size") * float(MAX_COPIES)).withColumn("at", F.col("cap") / F.col("w"))
+    s = running(s, [F.col("at"), F.col("source").asc_nulls_last()], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    whole = s.agg(F.sum("source_size").cast("double").alias("all"), F.sum("w").alias("all_w"))  # one row
+    s = materialize(s.join(F.broadcast(whole)).withColumn("level", (F.col("all") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))), "levels")
+    level = s.agg(F.min(F.when(F.col("at") >= F.col("level"), F.struct("at", "level")))["level"].alias("found"))  # one row
+    s = s.join(F.broadcast(level))
+    return s.select("source", "source_size", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("w"))).alias("target"))
+
+
+def pooled(sizes: list[int], share: float, rest: int, draw: Callable[[], float]) -> tuple[list[float], float]:
+    """sizes: the largest documents of a group, in order; rest: the words of its
+    others; share: the probability of all. Pairs each document with the pool of
+    those after it. Returns the new probabilities of the documents and of the
+    others; of both together at most one is a fraction if rest is 0."""
+    rest += sum(sizes)
+    mass, out = share * rest, []
+    for x in sizes:
+        pool, now = rest - x, mass / rest
+        high = 1.0 if mass >= x else mass / x
+        low = 0.0 if mass <= pool else (mass - pool) / x
+        new = high if draw() * (high - low) < now - low else low
+        out.append(new)
+        rest, mass = pool, min(max(0.0, mass - new * x), float(pool))
+    return out, mass / rest if rest else 0.0
+
+
+def paired(sizes: np.ndarray, p: np.ndarray, draw: Callable[[], float]) -> np.ndarray:
+    """The same of unequal probabilities: each document, largest first, is paired
+    with all smaller ones where they can make it integral either way, in equal
+    proportion up and down; the others are paired two by two."""
+    s, q = sizes.astype(np.float64), p.copy()
+
+    def snap(at) -> None:
+        q[at] = np.where(q[at] < _EPS, 0.0, np.where(q[at] > 1 - _EPS, 1.0, q[at]))
+
     for i in range(len(q)):
-        if not 0 < q[i] < 1:
+        rest = np.arange(i + 1, len(q))
+        rest = rest[(q[rest] > 0) & (q[rest] < 1)]
+        if not 0 < q[i] < 1 or not len(rest):
             continue
-        up, down, m, give, take = (1 - q[i]) * s[i], q[i] * s[i], i + 1, 0.0, 0.0
-        while m < len(q) and (give < up or take < down):
-            give, take, m = give + q[m] * s[m], take + (1 - q[m]) * s[m], m + 1
-        if give < up or take < down:
-            break
-        run = slice(i + 1, m)
-        if draws[i] < q[i]:
-            q[i], q[run] = 1.0, q[run] * (1 - up / give)
-        else:
-            q[i], q[run] = 0.0, q[run] + (1 - q[run]) * (down / take)
-        q[run] = np.where(q[run] < 1e-12, 0.0, np.where(q[run] > 1 - 1e-12, 1.0, q[run]))
+        odds = q[i] / (1 - q[i])
+        give = np.minimum(q[rest], (1 - q[rest]) / odds)
+        can, need = float(s[rest] @ give), (1 - q[i]) * s[i]
+        if can < need:
+            continue
+        taken = draw() < q[i]
+        q[rest] += give * (need / can) * (-1.0 if taken else odds)
+        q[i] = float(taken)
+        snap(rest)
     held = -1
-    for j in np.flatnonzero((q > 0) & (q < 1)):
+    for j in np.flatnonzero((q > 0) & (q < 1)).tolist():
         if held < 0:
             held = j
             continue
-        i, draw = held, draws[len(p) + j]
+        i = held
         a, b = min(q[i] * s[i], (1 - q[j]) * s[j]), min((1 - q[i]) * s[i], q[j] * s[j])
-        (x, y), moved = ((i, j), a) if draw * (a + b) < b else ((j, i), b)
+        (x, y), moved = ((i, j), a) if draw() * (a + b) < b else ((j, i), b)
         q[x], q[y] = q[x] - moved / s[x], q[y] + moved / s[y]
-        still = [k for k in (i, j) if 1e-12 < q[k] < 1 - 1e-12]
+        snap([i, j])
+        still = [k for k in (i, j) if 0 < q[k] < 1]
         held = still[0] if still else -1
-        for k in (i, j):
-            if k != held:
-                q[k] = round(q[k])
-    if held >= 0 and last:
-        q[held] = float(draws[-1] < q[held])
-    p[part] = q
-    return rows.assign(p=p, extra=np.where(p == 1, 1, 0), done=(p == 0) | (p == 1))
+    return q
+
+
+def settle(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
+    """Probabilities of one group, largest documents first, all but at most one integral; all if last."""
+    q, open_ = p.astype(np.float64), np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    q[p <= _EPS], q[p >= 1 - _EPS] = 0.0, 1.0
+    if len(open_):
+        own = q[open_]
+        if own.max() - own.min() < 1e-12:
+            q[open_] = pooled(sizes[open_].tolist(), float(own[0]), 0, rng.random)[0]
+        else:
+            q[open_] = paired(sizes[open_], own, rng.random)
+    q[q < _EPS], q[q > 1 - _EPS] = 0.0, 1.0
+    if last:
+        for i in np.flatnonzero((q > 0) & (q < 1)):
+            q[i] = float(rng.random() < q[i])
+    return q
+
+
+def _rng(seed: int, level: int, source: str | None, bucket: int) -> np.random.Generator:
+    name = b"" if source is None else b"s" + str(source).encode("utf-8", "surrogatepass")
+    return np.random.default_rng([seed, level, bucket, xxhash.xxh64_intdigest(name)])
+
+
+def _level(columns: list[str], seed: int, level: int):
+    """Settles each (source, bucket) of a cell; buckets of sources with one bucket left (top) are the last."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "tie", "copy"], ascending=[False, True, True], kind="stable")
+        out = []
+        for (source, bucket), part in rows.groupby(["source", "bucket"], sort=False, dropna=False):
+            source = None if pd.isna(source) else source
+            p = settle(part["size"].to_numpy(np.int64), part["p"].to_numpy(np.float64), _rng(seed, level, source, int(bucket)), bool(part["top"].iloc[0]))
+            out.append(part.assign(p=p, extra=(p == 1).astype(np.int64), done=(p == 0) | (p == 1)))
+        return pd.concat(out)[columns]
+
+    return run
 
 
-def _level(columns: list[str], seed: int, level: int, last: bool):
+def _settle_large(seed: int):
+    """The large documents of a source against its whole rest; a row without a size holds what becomes of the rest."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source_key", "size", "tie"], ascending=[True, False, True], kind="stable")
-        out = [_settle(part, np.random.default_rng([seed, level, int(part["bucket"].iloc[0]), int(key) & (2**63 - 1)]), last) for key, part in rows.groupby("source_key", sort=True)]
-        out = pd.concat(out)
-        return out.assign(bucket=out["bucket"] // FAN_IN)[columns]
+        rows = rows.sort_values(["size", "tie", "copy"], ascending=[False, True, True], kind="stable")
+        source = rows["source"].iloc[0]
+        source = None if pd.isna(source) else source
+        rng, sizes = _rng(seed, -1 & 0xFFFF, source, 0), rows["size"].tolist()
+        q, share = pooled(sizes, float(rows["p"].iloc[0]), int(rows["words"].iloc[0]) - sum(sizes), rng.random)
+        q = [0.0 if x < _EPS else 1.0 if x > 1 - _EPS else x for x in [*q, share]]
+        out = pd.concat([rows, rows.iloc[:1].assign(size=-1)])
+        return out.assign(p=q, extra=[int(x == 1) for x in q], done=[x in (0.0, 1.0) for x in q])[list(rows.columns)]
 
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with copy: a number for each of the rows equal in doc_id, source and
+    size. They are counted where they lie and numbered behind the tasks before,
+    so that no task gets all copies of a row."""
+    keys = ["doc_id", "source", "size"]
+    if rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    rows = materialize(rows.withColumn("task", F.spark_partition_id()), "tasks")
+    inside = F.row_number().over(Window.partitionBy("task", *keys).orderBy("order"))
+    rows = rows.withColumn("inside", inside)
+    counts = rows.groupBy(*keys, "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("task").alias("_task"), before.alias("before")).filter("before > 0")
+    same = F.col("task") == F.col("_task")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(counts, same, "left").withColumn("copy", F.col("inside") + F.coalesce("before", F.lit(0)) - 1)
+    return materialize(rows.drop("task", "inside", "before", "_task", *[f"_{k}" for k in keys]), "numbered")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, copies, and the columns in keep: a row per document."""
     prepare(docs.sparkSession)
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep), "sizes")
-    found = materialize(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "targets")
-    buckets = 1 << max(0, int(np.ceil(np.log2(max(1, base.count()) / BUCKET_ROWS))))
-    rows = base.join(found.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    # ids go through pandas as text: nullable integers would become doubles there
+    id_type = docs.schema[id_col].dataType
+    base = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("order"), *keep)
+    base = _numbered(materialize(base, "sizes"))
+    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("docs"))
+    per = materialize(per, "sources")
+    found = targets(per.select("source", "source_size"), weights)
+    found = found.join(per.select(F.col("source").alias("__s"), "docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MAX_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    rows = rows.withColumn("tie", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("source_key", F.xxhash64("source", F.col("source").isNull()))
-    rows = rows.withColumn("whole", F.floor(ratio).cast("long")).withColumn("p", F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "source"), F.lit(buckets))).withColumn("extra", F.lit(0).cast("long")).withColumn("done", F.lit(False))
-    settled, level, open_rows, keys = [], 0, rows, ["bucket"]
-    while True:
-        last = level > 0 and buckets == 1
-        columns = open_rows.columns
-        buckets = -(-buckets // FAN_IN)
-        out = materialize(open_rows.groupBy(*keys).applyInPandas(_level(columns, seed, level, last), open_rows.schema), "mixed")
-        settled.append(out.filter("done"))
-        if last:
-            break
-        open_rows, keys, level = out.filter("not done"), ["source_key", "bucket"], level + 1
+    ratio = F.when(F.abs(ratio - F.round(ratio)) < _EPS, F.round(ratio)).otherwise(ratio)
+    found = found.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("share", F.col("ratio") - F.floor("ratio"))
+    odds = F.greatest(F.lit(_EPS), F.least("share", 1 - F.col("share")))
+    rows_each = F.least(F.lit(float(MOST_ROWS)), F.greatest(F.lit(float(bucket_rows)), bucket_rows / (2 * odds)))
+    found = found.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / rows_each)).cast("long"))
+    found = found.withColumn("large", F.when(F.col("buckets") > 1, F.greatest(odds * F.col("source_size") / (F.col("buckets") * LARGE), F.col("source_size") / MOST_LARGE)))
+    found = materialize(found.select(F.col("source").alias("__s"), "source_size", "target", "whole", "share", "buckets", "large"), "targets")
+
+    rows = base.join(found, F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "order")
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", "size", F.lit(seed)))
+    rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("share")).otherwise(0.0)).withColumn("extra", F.lit(0).cast("long")).withColumn("done", F.col("p") == 0)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "copy"), "buckets"))
+    out = ["doc_id", "source", "size", "copy", "tie", "source_size", "target", "whole", "buckets", "bucket", "p", "extra", "done", *keep]
+    is_large = F.coalesce(F.col("size") > F.col("large"), F.lit(False))
+    open_, settled = rows.filter("not done"), [rows.filter("done").select(*out)]
+
+    # large documents first, against the whole rest of their source; what becomes of the rest is a row a source
+    big = open_.filter(is_large).select(*out, F.col("source_size").alias("words"))
+    big = materialize(big.groupBy("source").applyInPandas(_settle_large(seed), big.schema).withColumn("bucket", F.lit(0).cast("long")), "large")
+    settled.append(big.filter("done and size >= 0").select(*out))
+    shares = big.filter("size < 0").select(F.col("source").alias("__s"), F.col("p").alias("__p"))
+    small = open_.filter(~is_large).join(shares, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("p", F.coalesce("__p", "p")).select(*out)
+    level, cell_rows, left = 0, bucket_rows, None
+    total = open_.count()
+    while total:
+        current = small if left is None else left
+        current = current.withColumn("top", F.lit(level > 0) & (F.col("buckets") <= 1)).withColumn("cell", F.pmod(F.xxhash64("source", "bucket"), F.lit(max(1, -(-total // cell_rows)))))
+        step = materialize(current.groupBy("cell").applyInPandas(_level([*out, "top"], seed, level), current.drop("cell").schema), "mixed")
+        settled.append(step.filter("done").select(*out))
+        up = step.filter("not done").select(*out)
+        if level == 0:
+            up = up.unionByName(big.filter("not done and size >= 0").select(*out))
+        left = up.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long")).withColumn("buckets", F.ceil(F.col("buckets") / FAN_IN).cast("long"))
+        total, level = left.count(), level + 1
     every = settled[0]
     for more in settled[1:]:
         every = every.unionByName(more)
-    return every.select("doc_id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), *keep)
+    return every.select(F.col("doc_id").cast(id_type).alias("doc_id"), "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), *keep)
 
 
 def op7_result(docs: DataFrame) -> DataFrame:
@@ -136,10 +248,10 @@ def op7_result(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each as many times as the mix takes it. Texts are joined
-    back to the decisions without a sort: the small side is the hash table."""
+    """The documents, each as many times as the mix takes it; all columns stay."""
     names = docs.columns
-    keyed = with_row_key(docs)
-    taken = materialize(mix(keyed, id_col, text_col, source_col, keep=("__row",)).filter("copies > 0").select("__row", F.col("copies").alias("__n")), "taken")
-    out = keyed.join(taken.hint("shuffle_hash"), "__row")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
+    keyed, key = with_row_key(docs)
+    n = fresh(names, "__n")
+    taken = materialize(mix(keyed, id_col, text_col, source_col, keep=tuple(key)).filter("copies > 0").select(*key, F.col("copies").alias(n)), "taken")
+    out = keyed.join(taken, key)
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*names)

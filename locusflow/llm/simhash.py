@@ -177,8 +177,8 @@ def similar_roots(sets: list[np.ndarray]) -> np.ndarray:
     return roots
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__row") -> DataFrame:
-    """doc_id, key (a column of docs that tells its rows apart) and component, equal for texts linked by similarity."""
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("__file", "__row")) -> DataFrame:
+    """doc_id, key (columns of docs that tell its rows apart) and component, equal for texts linked by similarity."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("struct<same:bigint,bands:array<bigint>>")
@@ -196,23 +196,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = group["same"].to_numpy()
         return pd.DataFrame({"same": same, "root": same[similar_roots([np.frombuffer(x, np.uint64) for x in group["hashes"]])]})
 
-    found = docs.select(F.col(id_col).alias("doc_id"), key, signed(F.col(text_col)).alias("x"))
-    rows = materialize(found.select("doc_id", key, "x.same", "x.bands"), "signatures")
-    classes = materialize(rows.groupBy("same").agg(F.min(F.struct(key, "bands")).alias("x")).select("same", f"x.{key}", "x.bands"), "distinct")
+    found = docs.select(F.col(id_col).alias("doc_id"), *key, signed(F.col(text_col)).alias("x"))
+    rows = materialize(found.select("doc_id", *key, "x.same", "x.bands"), "signatures")
+    classes = materialize(rows.groupBy("same").agg(F.min(F.struct(*key, "bands")).alias("x")).select("same", *[f"x.{k}" for k in key], "x.bands"), "distinct")
     bands = classes.select("same", F.explode("bands").alias("v")).withColumn("a", F.min("same").over(Window.partitionBy("v")))
     edges = bands.filter("a != same").select("a", F.col("same").alias("b")).distinct()
     labels = components(edges).select(F.col("node").alias("same"), "label")
-    chosen = materialize(classes.select("same", key).join(labels, "same"), "candidates")
-    sets = docs.select(key, text_col).join(chosen.hint("shuffle_hash"), key).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
+    chosen = materialize(classes.select("same", *key).join(labels, "same"), "candidates")
+    sets = docs.select(*key, text_col).join(chosen, list(key)).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
     roots = materialize(sets.groupBy("label").applyInPandas(settle, "same bigint, root bigint"), "roots")
-    return rows.join(roots, "same", "left").select("doc_id", key, F.coalesce("root", "same").alias("component"))
+    return rows.join(roots, "same", "left").select("doc_id", *key, F.coalesce("root", "same").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but one of each group of near copies: the row
     with the least id stays, the first by row key among rows that share it."""
     names = docs.columns
-    keyed = with_row_key(docs)
-    found = materialize(near_copies(keyed, id_col, text_col), "found")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x")).select(F.col("x.__row").alias("__row"))
-    return keyed.join(materialize(best, "kept").hint("shuffle_hash"), "__row", "left_semi").select(*names)
+    keyed, key = with_row_key(docs)
+    found = materialize(near_copies(keyed, id_col, text_col, tuple(key)), "found")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("x")).select(*[F.col(f"x.{k}").alias(k) for k in key])
+    return keyed.join(materialize(best, "kept"), key, "left_semi").select(*names)
