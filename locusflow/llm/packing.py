@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,6 +44,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 #: How byte-level tokenizers of this kind split a text before merging bytes; a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of this length or more is cut out before the split.
+LONG_SPACE = 10_000
+_LONG_SPACE = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}+")
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others are numbered from U+0100."""
@@ -64,11 +69,20 @@ class Ids:
         ranks = {k: v for k, v in ranks.items() if k not in {a.encode() for a in added}}
         # the same merges by rank, several times as fast as the whole tokenizer
         self.merges = tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.piece = self.merges._core_bpe.encode_single_piece
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:  # a special token's own text is one id, wherever it stands
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.merges.encode_ordinary(text)).tobytes()
+        out, at = array("I"), 0
+        if len(text) >= LONG_SPACE:
+            # the split backtracks over a run of white space; it is one piece up to its last character, which may go with what follows
+            for m in _LONG_SPACE.finditer(text):
+                out.extend(self.merges.encode_ordinary(text[at : m.start()]))
+                at = m.end() - (m.end() < len(text))
+                out.extend(self.piece(text[m.start() : at].encode()))
+        out.extend(self.merges.encode_ordinary(text[at:] if at else text))
+        return out.tobytes()
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
