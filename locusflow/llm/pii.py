@@ -16,13 +16,15 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import prepare
+from locusflow.llm.common import fresh, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,8 +102,12 @@ _OCTET = rf"(?:(?:{_WORD}|[0-9])(?:[\s-]{{1,2}}(?:{_WORD}|[0-9])){{0,2}}|[0-9]{{
 _SPELLED_IP = re.compile(rf"(?i)(?<![^\W_])(?<![0-9]\.){_OCTET}(?:(?:\s+(?:{_DOT_WORDS})\s+|\.){_OCTET}){{3}}(?![^\W_])")
 _IP_DOT = re.compile(rf"(?i)\s+(?:{_DOT_WORDS})\s+|\.")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKET = re.compile(rf"(?i)\s*{_OPEN}\s{{0,3}}({_AT_WORDS}|{_DOT_WORDS}|@|\.)\s{{0,3}}{_CLOSE}\s*")
-_PLAIN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9_%+-]+)*\s*(?:\s({_AT_WORDS})\s|@)\s*[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORDS})\s+|\.)[A-Za-z0-9-]+)+")
+# These begin with what is rare: where white space or words come first, they are extended to the left by hand, or long runs would be read again from each of their characters.
+_BRACKET = re.compile(rf"(?i){_OPEN}\s{{0,3}}({_AT_WORDS}|{_DOT_WORDS}|@|\.)\s{{0,3}}{_CLOSE}")
+_AT = re.compile(rf"(?i)(?<=\s)({_AT_WORDS})(?=\s)|@")
+_HOST = re.compile(rf"(?i)\s*([A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORDS})\s+|\.)[A-Za-z0-9-]+)+)")
+_DOT_BEFORE = frozenset(_DOT_WORDS.split("|"))
+_LOCAL_WORD = _LOCAL_CHARS - {"."}
 #: Last labels that a plain word at may lead to; names that are common words are left out.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app ai tv uk de fr es nl eu ch ru cn jp br pl se no dk fi pt ca au example test invalid localhost mx kr xyz online site shop cloud tech club cz hu gr tr ua ro sk ie il sg hk tw nz za cl pe cat eus swiss berlin gmbh".split())
 #: After a real @, or one in brackets, any name of letters may be last.
@@ -121,24 +127,26 @@ class Mapped:
 
     def __init__(self, text: str):
         self.text = text
-        self.starts, self.ends = range(len(text)), range(1, len(text) + 1)
+        self.starts, self.ends = range(len(text)), range(1, len(text) + 1)  # arrays once something is rewritten
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """edits: ascending, disjoint (start, end, replacement)."""
         if not edits:
             return
-        text, starts, ends, at = [], [], [], 0
+        text, starts, ends, at = [], array("q"), array("q"), 0
         for a, b, new in edits:
             text.append(self.text[at:a])
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
+            starts.extend(self.starts[at:a])
+            ends.extend(self.ends[at:a])
             if b > a:
                 text.append(new)
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
+                starts.extend([self.starts[a]] * len(new))
+                ends.extend([self.ends[b - 1]] * len(new))
             at = b
         self.text = "".join(text) + self.text[at:]
-        self.starts, self.ends = [*starts, *self.starts[at:]], [*ends, *self.ends[at:]]
+        starts.extend(self.starts[at:])
+        ends.extend(self.ends[at:])
+        self.starts, self.ends = starts, ends
 
 
 def _plain_glyph(c: str) -> str:
@@ -168,8 +176,24 @@ def _glyphs(m: Mapped) -> None:
     m.rewrite([(i, i + 1, n) for i, c in enumerate(m.text) if (n := _PLAIN_OF[c]) != c])
 
 
+def _space_before(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _space_after(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
 def _brackets(m: Mapped) -> None:
-    m.rewrite([(*x.span(), "." if x[1].lower() in _DOTS else "@") for x in _BRACKET.finditer(m.text)])
+    edits, end = [], 0
+    for x in _BRACKET.finditer(m.text):
+        start, end = _space_before(m.text, x.start(), end), _space_after(m.text, x.end())
+        edits.append((start, end, "." if x[1].lower() in _DOTS else "@"))
+    m.rewrite(edits)
 
 
 def _octets(run: str) -> str | None:
@@ -201,16 +225,43 @@ def _spelled(m: Mapped) -> None:
     m.rewrite([(x.start() + n[0], x.start() + n[1], n[2]) for x in _SPELLED.finditer(m.text) if (n := _number(x[0]))])
 
 
+def _local_start(text: str, end: int, least: int) -> int:
+    """Where a local part that ends at end begins: words, with dot words between them. Only the first may hold dots."""
+    at = end
+    while True:
+        while at > least and text[at - 1] in _LOCAL_WORD:
+            at -= 1
+        if at > least and text[at - 1] == ".":
+            while at > least and text[at - 1] in _LOCAL_CHARS:
+                at -= 1
+            return at
+        if at == end or (dot := _space_before(text, at, least)) == at:
+            return at
+        word = dot
+        while word > least and dot - word < 6 and text[word - 1].isalpha():
+            word -= 1
+        before = _space_before(text, word, least)
+        if text[word:dot].lower() not in _DOT_BEFORE or before == word or before == least or text[before - 1] not in _LOCAL_CHARS:
+            return at
+        at = end = before
+
+
 def _at_dot(m: Mapped) -> None:
-    edits = {}
-    for x in _PLAIN.finditer(m.text):
-        last = re.split(r"\.|\s", x[0])[-1].lower()
-        if last not in TOP_LEVEL and (x[1] or not _LABEL.fullmatch(last)):
+    edits, last, text = {}, 0, m.text
+    for x in _AT.finditer(text):
+        if x.start() < last:
+            continue
+        end = _space_before(text, x.start(), last)
+        if end == last or text[end - 1] not in _LOCAL_CHARS or not (host := _HOST.match(text, x.end())):
+            continue
+        start, last = _local_start(text, end, last), host.end()
+        label = re.split(r"\.|\s", host[1])[-1].lower()
+        if label not in TOP_LEVEL and (x[1] or not _LABEL.fullmatch(label)):
             continue
-        for p in _PLAIN_PART.finditer(m.text, *x.span()):
+        for p in _PLAIN_PART.finditer(text, start, last):
             edits[p.start()] = (*p.span(), "." if (p[1] or "").lower() in _DOTS else "@")
-    for x in _DOT_IP.finditer(m.text):
-        for p in _PLAIN_PART.finditer(m.text, *x.span()):
+    for x in _DOT_IP.finditer(text):
+        for p in _PLAIN_PART.finditer(text, *x.span()):
             edits[p.start()] = (*p.span(), ".")
     m.rewrite([edits[k] for k in sorted(edits)])
 
@@ -235,15 +286,18 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         step(m)
     if isinstance(m.starts, range):
         return base, base
-    taken: dict[int, list[tuple[int, int]]] = {}
+    taken: dict[int, list[tuple[int, int]]] = {}  # by kind, in order
     for k, a, b in base:
         taken.setdefault(k, []).append((a, b))
     more = []
     for k, a, b in detect(m.text):
         s, e = m.starts[a], m.ends[b - 1]
-        if text[s:e] != m.text[a:b] and not any(x < e and s < y for x, y in taken.get(k, ())):
-            taken.setdefault(k, []).append((s, e))
-            more.append((k, s, e))
+        own = taken.setdefault(k, [])
+        if text[s:e] != m.text[a:b]:
+            at = bisect_left(own, (s, e))
+            if (at == 0 or own[at - 1][1] <= s) and (at == len(own) or own[at][0] >= e):
+                own.insert(at, (s, e))
+                more.append((k, s, e))
     return base, sorted([*base, *more])
 
 
@@ -289,9 +343,10 @@ def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
     """The documents with every found span replaced; a null text stays null, all columns stay."""
     prepare(docs.sparkSession)
     names = docs.columns
-    out = docs.withColumn("__pii", pii_udf(True)(F.col(text_col)))
-    text = F.coalesce(F.col("__pii.masked"), F.col(text_col))
-    out = out.withColumn(text_col, text)
+    x = fresh(names, "__pii")
+    out = docs.withColumn(x, pii_udf(True)(F.col(text_col)))
+    made = F.col(f"{x}.masked")
+    out = out.withColumn(text_col, F.coalesce(made, F.col(text_col)))
     if length_col in names:
-        out = out.withColumn(length_col, F.when(F.col("__pii.masked").isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(made.isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(length_col)))
     return out.select(*names)
