@@ -1,19 +1,23 @@
 """WARC archives with a Zstandard dictionary in a leading skippable frame.
 
-Each task writes archives to the shared folder. The dictionary is trained on the
-first records of the archive, and stands, itself compressed, in a skippable
-frame before all others; every record is a frame of its own, compressed with it,
-so records can be read one by one. A file gets its name, from the attempt that
-wrote it, only when it is whole, and only files in the manifest are read: lost
-executors and repeated tasks leave no half or double records.
+The dictionary is trained on a sample of all records, those with the smallest
+hashes of their place in the table, of bounded number and size. Each task writes
+archives to the shared folder. The dictionary, itself compressed, stands in a
+skippable frame before all others; every record is a frame of its own, compressed
+with it, so records can be read one by one. A file gets its name, from the attempt
+that wrote it, only when it is whole, and only files in the manifest are read: lost
+executors and repeated tasks leave no half or double records. Reading measures and
+hashes each payload anew and raises if a header says otherwise.
 
 Records with equal payloads of REVISIT_FROM bytes or more: the one with the
-largest page_id is a response, the others are revisits of it without payload.
+largest page_id is a response, the others are revisits of it without payload, so
+their size and digest come from their headers.
 
 Defined cases: null html is an empty payload, null url an empty target; pages
 with a null id count below all ids, and if all are null each is a response; rows
-that share the largest id are each a response; very long payloads are one
-record; an empty table writes no archive and gives no rows.
+that share the largest id are each a response, and revisits name the last of them;
+rows that share an id have record ids of their own; very long payloads are one
+record; extra columns are ignored; an empty table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -25,17 +29,18 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialize, prepare, scratch
+from locusflow.llm.common import materialize, prepare, scratch, with_row_key
 
 REVISIT_FROM = 1000
-#: An archive's dictionary: its size, and the bounded sample that it is built from.
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 << 10, 200, 8 << 20
+#: The dictionary's size, and its sample: records, and bytes from each.
+DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 << 10, 1000, 16 << 10
 #: An archive that has grown to this is closed and the next one is begun.
 ARCHIVE_BYTES, LEVEL = 1 << 30, 3
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -50,70 +55,71 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def record(page_id: int | None, url: str, payload: bytes, revisit_of: int | None, revisit: bool) -> bytes:
+def record_id(key: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>"
+
+
+def record(page_id: int | None, key: str, url: str, payload: bytes, date: str, revisit_of: int | None = None, revisit_key: str | None = None) -> bytes:
+    """key: the row's place in its table; revisit_of and revisit_key: of the response that this is a revisit of."""
+    revisit = revisit_key is not None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     block = b"" if revisit else payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {page_id}')}>",
+        f"WARC-Record-ID: {record_id(key)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Bytes: {len(payload)}",
         *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
-        *([f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {revisit_of}')}>", f"X-Refers-To-Page-Id: {revisit_of}"] if revisit else []),
+        *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(revisit_key)}", f"X-Refers-To-Page-Id: {revisit_of}"] if revisit else []),
         "Content-Type: application/octet-stream",
         f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple:
+    """A RECORD row; raises where the record isn't what its header says."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
-    payload = rest[: int(fields["Content-Length"])]
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    length = int(fields["Content-Length"])
+    payload, digest, size = rest[:length], base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), int(fields["X-Payload-Bytes"])
+    if len(payload) != length or rest[length:] != b"\r\n\r\n":
+        raise ValueError(f"{fields['WARC-Record-ID']}: the block isn't of {length} bytes")
+    if fields["WARC-Type"] == "response":
+        read = hashlib.sha1(payload).hexdigest()
+        if (read, length) != (digest, size):
+            raise ValueError(f"{fields['WARC-Record-ID']}: {length} bytes with digest {read} were read, the header has {size} and {digest}")
+        digest, size = read, length
     whole = lambda k: int(fields[k]) if k in fields else None
-    return whole("X-Page-Id"), fields["WARC-Target-URI"], int(fields["X-Payload-Bytes"]), digest, fields["WARC-Type"], whole("X-Refers-To-Page-Id"), payload
+    return whole("X-Page-Id"), fields["WARC-Target-URI"], size, digest, fields["WARC-Type"], whole("X-Refers-To-Page-Id"), payload
 
 
-def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+def dictionary(samples: list[bytes]) -> bytes:
     """Trained; of too few or too small records, their plain content."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples)
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 class ArchiveWriter:
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, made: bytes):
         self.fs, self.folder = file_system(folder)
         self.base = folder
         self.fs.create_dir(self.folder, recursive=True)
         self.name = f"part-{uuid.uuid4().hex}.warc.zst"
-        self.waiting: list[bytes] = []
-        self.waiting_bytes = self.records = self.bytes = 0
-        self.out = None
+        self.records = self.bytes = 0
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(made))
+        self.out = self.fs.open_output_stream(f"{self.folder}/.{self.name}")
+        packed = zstandard.ZstdCompressor(level=19).compress(made)
+        self._write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
 
     def add(self, data: bytes) -> None:
         self.records += 1
-        if self.out is not None:
-            self._frame(data)
-            return
-        self.waiting.append(data)
-        self.waiting_bytes += len(data)
-        if len(self.waiting) >= SAMPLE_RECORDS or self.waiting_bytes >= SAMPLE_BYTES:
-            self._begin()
-
-    def _begin(self) -> None:
-        made = dictionary(self.waiting)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=made)
-        self.out = self.fs.open_output_stream(f"{self.folder}/.{self.name}")
-        packed = zstandard.ZstdCompressor(level=19).compress(made.as_bytes())
-        self._write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
-        for data in self.waiting:
-            self._frame(data)
-        self.waiting = []
+        self._frame(data)
 
     def _frame(self, data: bytes) -> None:
         self._write(self.compressor.compress(data))
@@ -123,8 +129,6 @@ class ArchiveWriter:
         self.bytes += len(data)
 
     def close(self) -> tuple[str, int, int]:
-        if self.out is None:
-            self._begin()
         self.out.close()
         self.fs.move(f"{self.folder}/.{self.name}", f"{self.folder}/{self.name}")
         return f"{self.base}/{self.name}", self.records, self.bytes
@@ -163,24 +167,32 @@ def read_archive(path: str) -> Iterator[bytes]:
             yield out.getvalue()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Writes the pages below folder and returns the manifest. Payloads aren't
-    shuffled if few repeat: only digests are grouped."""
-    prepare(pages.sparkSession)
+    shuffled if few repeat: only digests are grouped. date: of the capture, in
+    the form of WARC-Date; the time of writing if None."""
+    spark = pages.sparkSession
+    prepare(spark)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
+    keyed, key = with_row_key(pages)
+    place = F.concat_ws(":", *key).alias("key")
+    rows = keyed.select(F.col(id_col).cast("long").alias("page_id"), place, F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
+    sample = rows.select("page_id", "key", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy(F.xxhash64("key")).limit(SAMPLE_RECORDS).collect()
+    made = spark.sparkContext.broadcast(dictionary([record(r["page_id"], r["key"], r["url"], bytes(r["payload"]), date) for r in sample]))  # of DICTIONARY_BYTES
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    again = rows.filter(F.col("size") >= REVISIT_FROM).groupBy("digest", "size").agg(F.max("page_id").alias("of"), F.count("*").alias("n"))
-    again = materialize(again.filter("n > 1 and of is not null").select("digest", "size", "of"), "repeated")
-    rows = rows.join(again, ["digest", "size"], "left").select("page_id", "url", "payload", "of")
+    again = rows.filter(F.col("size") >= REVISIT_FROM).groupBy("digest", "size").agg(F.max(F.struct("page_id", "key")).alias("of"), F.count("*").alias("n"))
+    again = materialize(again.filter("n > 1 and of.page_id is not null").select("digest", "size", "of"), "repeated")
+    rows = rows.join(again, ["digest", "size"], "left").select("page_id", "key", "url", "payload", F.col("of.page_id").alias("of"), F.col("of.key").alias("of_key"))
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, done = None, []
         for part in parts:
-            for page_id, url, body, of in zip(part["page_id"], part["url"], part["payload"], part["of"]):
+            for page_id, key, url, body, of, of_key in zip(*(part[c] for c in ("page_id", "key", "url", "payload", "of", "of_key"))):
                 page_id, of = (None if pd.isna(x) else int(x) for x in (page_id, of))
-                writer = writer or ArchiveWriter(folder)
-                writer.add(record(page_id, url, bytes(body), of, of is not None and page_id != of))
+                writer = writer or ArchiveWriter(folder, made.value)
+                revisit = (of, of_key) if of is not None and page_id != of else ()
+                writer.add(record(page_id, key, url, bytes(body), date, *revisit))
                 if writer.bytes >= ARCHIVE_BYTES:
                     done.append(writer.close())
                     writer = None
@@ -189,7 +201,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
     # nullable integers would become doubles in pandas and lose digits
-    text = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("of").cast("string").alias("of"))
+    text = rows.select(F.col("page_id").cast("string").alias("page_id"), "key", "url", "payload", F.col("of").cast("string").alias("of"), "of_key")
     return materialize(text.mapInPandas(write, MANIFEST), "manifest")
 
 
