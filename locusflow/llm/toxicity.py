@@ -6,15 +6,17 @@ with the automata of all words within some edits of it: a state is a set of (tri
 node, edits left), and the deterministic automaton over such sets is built
 lazily, a transition when a text first needs it. A word is walked through it
 once; it is accepted with the nearest terms and their distances, and most words
-leave it after a few letters. Terms of fewer than FUZZY_FROM letters are matched
-exactly only.
+leave it after a few letters. Two neighbours that changed places are one edit.
+Terms of fewer than FUZZY_FROM letters are matched exactly only; signs that stand
+for letters are read as letters for terms of any length.
 
 Every hit is weighed by its context: quotation marks around it or words of
 reporting near it lower its weight, words of address near it raise it. A
-logistic model of the weighed hits, fitted on the same sample, gives the score.
+logistic model of the weighed hits, fitted on the same sample, gives the score;
+more or weightier hits never lower it.
 
 Defined cases: a null text is empty and scored like any; labels null or not 0/1
-teach nothing; without labels the lexicon is empty and every score is 0.5, with
+teach nothing, nor do ids with both; without labels the lexicon is empty and every score is 0.5, with
 labels of one kind their smoothed share; rows with a null id are scored and not
 held out; repeated rows are scored alike; an empty table gives an empty result.
 """
@@ -31,14 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialize, prepare
+from locusflow.llm.common import fresh, materialize, prepare
 from locusflow.llm.labelled import held_out, training_sample
 
 SAMPLE_ROWS = 20000
-#: A term is in LEAST_DOCS or more toxic documents, of those with it at least LEAST_SHARE; the lexicon holds MOST_TERMS at most.
-LEAST_DOCS, LEAST_SHARE, MOST_TERMS = 4, 0.9, 20000
+#: A term is in LEAST_DOCS or more toxic documents of the sample, of those with it at least LEAST_SHARE; so the sample bounds the lexicon.
+LEAST_DOCS, LEAST_SHARE = 4, 0.9
 FUZZY_FROM, EDITS, LONG_FROM, LONG_EDITS = 5, 1, 9, 2
 WINDOW = 6
+#: The first RISING of the model's features say how much there is.
+FEATURES, RISING = 5, 4
 QUOTES = frozenset("\"'“”„«»‘’‹›`")
 REPORTING = frozenset("said says wrote writes quote quoted quotes quoting called term word words phrase insult slur example sagte schrieb zitat wort dit écrit citation mot dijo escribió cita palabra".split())
 ADDRESS = frozenset("you your youre yourself u ur ya du dich dein ihr euch tu toi ton ta vous votre tú te usted ustedes".split())
@@ -46,7 +50,8 @@ QUOTED_WEIGHT, ADDRESS_WEIGHT, FUZZY_WEIGHT = 0.35, 1.25, 0.85
 #: Signs that stand for letters inside words.
 LEET = str.maketrans("013457@$", "oieastas")
 _WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
-REMEMBERED = 200_000
+#: Words and states of the automaton that a worker keeps; beyond, it begins anew.
+REMEMBERED, MOST_STATES = 200_000, 100_000
 
 
 def edits_of(term: str) -> int:
@@ -75,25 +80,32 @@ class Automaton:
                 node = self.children[node][c]
                 self.budget[node] = max(self.budget[node], edits)
             self.final[node] = term
+        self.letters = frozenset(c for x in self.children for c in x)
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self.letters = frozenset(c for x in self.children for c in x)
         self.start = self._state({(0, 0)})
 
-    def _close(self, pairs: set[tuple[int, int]]) -> frozenset:
-        """With letters of terms left out; of one node the fewest edits count."""
-        best: dict[int, int] = {}
+    def _close(self, pairs: set) -> frozenset:
+        """With letters of terms left out; of one node the fewest edits count. A
+        node is a number, or (number, letter): the letter must come first, as the
+        other half of a swap."""
+        best: dict = {}
         todo = list(pairs)
         while todo:
             node, used = todo.pop()
-            if used <= self.budget[node] and used < best.get(node, 99):
+            whole = isinstance(node, int)
+            if used <= self.budget[node if whole else node[0]] and used < best.get(node, 99):
                 best[node] = used
-                todo += [(child, used + 1) for child in self.children[node].values()]
+                if whole:
+                    todo += [(child, used + 1) for child in self.children[node].values()]
         return frozenset(best.items())
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
+    def _state(self, pairs: set) -> int:
         closed = self._close(pairs)
         if not closed:
             return -1
@@ -103,7 +115,7 @@ class Automaton:
             self.moves.append({})
             ends = []
             for node, used in closed:
-                term = self.final[node]
+                term = self.final[node] if isinstance(node, int) else None
                 if term is not None and used <= self.edits[term]:
                     ends.append((used, -self.terms[term], term))
             self.accepts.append((min(ends)[2], min(ends)[0]) if ends else None)
@@ -112,13 +124,21 @@ class Automaton:
     def _move(self, state: int, c: str) -> int:
         out = set()
         for node, used in self.sets[state]:
+            if not isinstance(node, int):
+                if node[1] == c:
+                    out.add((node[0], used))
+                continue
             for letter, child in self.children[node].items():
                 out.add((child, used + (letter != c)))
+                if letter != c and c in self.children[child]:
+                    out.add(((self.children[child][c], letter), used + 1))
             out.add((node, used + 1))
         return self._state(out)
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, of equals the weightiest."""
+        if len(self.sets) > MOST_STATES:
+            self._begin()
         state = self.start
         for c in word:
             key = c if c in self.letters else ""  # all letters of no term move alike
@@ -158,8 +178,9 @@ class Model:
         hit = self.automaton.match(word)
         if (hit is None or hit[1]) and (plain := word.translate(LEET).replace("*", "")) != word:
             again = self.automaton.match(plain)
-            if again and (hit is None or again[1] < hit[1]) and self.fuzzy.get(again[0], 0) > 0:
-                hit = (again[0], max(1, again[1]))
+            # signs inside a word that hide a term are no accident: the term itself, if nothing else differs, counts whole
+            if again and (hit is None or again[1] < hit[1]):
+                hit = again
         out = None if hit is None else (self.fuzzy[hit[0]] if hit[1] else self.terms[hit[0]], hit[1])
         if len(self.known) >= REMEMBERED:
             self.known.clear()
@@ -167,20 +188,18 @@ class Model:
         return out
 
     def features(self, text: str) -> np.ndarray:
-        """Of hits weighed by their context: the most, the sum, exact and misspelled apart, their density, the quoted share."""
+        """Of hits weighed by their context: the most, the sum, their density, the terms meant, and the quoted share."""
         low = text.lower()
         words = _WORD.findall(low)
         hits = {w: x for w in set(words) if (x := self.look(w))}
-        out = np.zeros(7)
         if not hits:
-            return out
+            return np.zeros(FEATURES)
         spans = [(m.start(), m.end()) for m in _WORD.finditer(low)]
-        exact = fuzzy = most_fuzzy = most = quoted = n = weighed = 0.0
+        total = most = quoted = n = weighed = 0.0
         meant: set[str] = set()
         for i, w in enumerate(words):
             if w not in hits:
                 continue
-            weight, edits = hits[w]
             near = words[max(0, i - WINDOW) : i + WINDOW + 1]
             a, b = spans[i]
             marks = QUOTES.intersection(low[max(0, a - 2) : a]) and QUOTES.intersection(low[b : b + 3]) or _inside_quotes(low, a, b)
@@ -190,12 +209,9 @@ class Model:
             else:
                 factor = ADDRESS_WEIGHT if ADDRESS.intersection(near) else 1.0
                 meant.add(w)
-            weight, n, weighed = weight * factor, n + 1, weighed + factor
-            if edits:
-                fuzzy, most_fuzzy = fuzzy + weight, max(most_fuzzy, weight)
-            else:
-                exact, most = exact + weight, max(most, weight)
-        return np.array([most, np.log1p(exact), most_fuzzy, np.log1p(fuzzy), np.log1p(100 * weighed / len(words)), quoted / n, min(3, len(meant))])
+            weight = hits[w][0] * factor
+            total, most, n, weighed = total + weight, max(most, weight), n + 1, weighed + factor
+        return np.array([most, np.log1p(total), np.log1p(100 * weighed / len(words)), min(3, len(meant)), quoted / n])
 
     def score(self, text: str) -> float:
         if self.weights is None:
@@ -210,11 +226,8 @@ def _inside_quotes(low: str, a: int, b: int) -> bool:
     return any(before.count(o) > (before.count(c) if o != c else before.count(o) // 2 * 2) and c in after for o, c in (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»")))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Newton's method with a ridge on all but the base; weights of hits can't fall below 0."""
-    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
-    ridge[-1] = 1e-6
+def _newton(z: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    w = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         gradient = z.T @ (p - y) + ridge * w
@@ -222,6 +235,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    return w
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, rising: int, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Newton's method with a ridge on all but the base. Of the first rising
+    features, those that would get a weight below 0 are left out, one by one."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    used = list(range(z.shape[1]))
+    while True:
+        own = _newton(z[:, used], y, np.array([penalty] * (len(used) - 1) + [1e-6]))
+        low = [(v, i) for v, i in zip(own, used) if i < rising and v < 0]
+        if not low:
+            break
+        used.remove(min(low)[1])
+    w = np.zeros(z.shape[1])
+    w[used] = own
     return w[:-1], float(w[-1])
 
 
@@ -229,7 +258,8 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of terms, and of their misspellings. Words of the sample (text, y)
     are counted by documents, in each task before the shuffle. A term whose
     neighbours within some edits are words of documents that aren't toxic is
-    matched exactly only; the driver gets at most MOST_TERMS rows each time."""
+    matched exactly only. The driver gets the terms, of which the bounded sample has
+    at most its words over LEAST_DOCS."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             all_, toxic = Counter(), Counter()
@@ -244,7 +274,7 @@ def learn_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     words = materialize(words, "words")
     weight = F.log((F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5))
     found = words.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_SHARE * F.col("n")) & (F.length("word") >= 3))
-    rows = found.select("word", weight.alias("weight")).orderBy(F.col("weight").desc(), "word").limit(MOST_TERMS).collect()
+    rows = found.select("word", weight.alias("weight")).orderBy(F.col("weight").desc(), "word").collect()
     terms = {r["word"]: float(min(6.0, r["weight"])) for r in rows}
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, parts: int
         n, toxic = sum(kinds.values()), kinds.get(1, 0)
         return Model({}, {}, None, (toxic + 1) / (n + 2) if n else 0.5)
     terms, fuzzy = learn_terms(sample)
-    model = Model(terms, fuzzy, np.zeros(7), 0.0)
+    model = Model(terms, fuzzy, np.zeros(FEATURES), 0.0)
     shared = spark.sparkContext.broadcast(model)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,9 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, parts: int
 
     got = sample.select("text", "y").mapInPandas(make, "y int, x array<double>").toPandas()
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(np.float64)
-    weights, base = fit_logistic(x, y)
-    # misspellings are rarer in the sample than they may be elsewhere; what they are worth is in their own weights
-    weights[2:4] = np.maximum(weights[2:4], 0.9 * weights[:2])
+    weights, base = fit_logistic(x, y, RISING)
     return Model(terms, fuzzy, weights, base)
 
 
@@ -317,6 +345,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
     """The documents that score below threshold, with all their columns."""
     prepare(docs.sparkSession)
     names = docs.columns
+    score = fresh(names, "__toxic")
     model = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows)
-    scored = docs.withColumn("__toxic", score_udf(model, docs.sparkSession)(F.col(text_col)))
-    return scored.filter(F.col("__toxic") < threshold).select(*names)
+    scored = docs.withColumn(score, score_udf(model, docs.sparkSession)(F.col(text_col)))
+    return scored.filter(F.col(score) < threshold).select(*names)

@@ -1,7 +1,9 @@
 """Operators on documents against plain versions, on small and awkward tables."""
 
+import dataclasses
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -151,6 +153,16 @@ def test_guard_loses_nothing(monkeypatch):
         assert pii.find(t) == x, t
 
 
+LONG_TEXTS = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "a dot " * 100_000, "(" * 300_000, " at" * 300_000, "+1 " * 300_000, "1 dot " * 100_000, "a@" * 300_000]
+
+
+@pytest.mark.parametrize("t", LONG_TEXTS, ids=range(len(LONG_TEXTS)))
+def test_long_texts_take_linear_time(t):
+    start = time.time()
+    base, spans = pii.find(t + " me@mail.example.com")
+    assert base[-1] == (0, len(t) + 1, len(t) + 20) and time.time() - start < 20
+
+
 def test_pii_query(docs, none):
     got = pii.detect_pii(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("me@mail.example.com"))))
     rows = got.collect()
@@ -288,17 +300,39 @@ def test_mixing_query(docs, none, spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
-def test_rounding_keeps_words_and_expected_copies():
-    import pandas as pd
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.5, 0.97])
+def test_rounding_keeps_words_and_expected_copies(share):
+    rng = np.random.default_rng(1)
+    sizes = np.sort(np.concatenate([rng.integers(1, 50, 19), [400]]))[::-1]
+    mixed = np.sort(rng.random(20))
+    for p in (np.full(20, share), mixed):
+        took, seeds = np.zeros(20), 10000
+        for seed in range(seeds):
+            out = mixing.settle(sizes, p, np.random.default_rng(seed), False)
+            left = (out > 0) & (out < 1)
+            assert left.sum() <= 1 and out @ sizes == pytest.approx(p @ sizes)
+            took += mixing.settle(sizes, out, np.random.default_rng([seed, 1]), True)
+        assert (np.abs(took / seeds - p) <= 4 * np.sqrt(p * (1 - p) / seeds) + 1e-12).all()
+
 
-    sizes = np.sort(np.random.default_rng(1).integers(1, 50, 40))[::-1]
-    rows = pd.DataFrame({"size": sizes, "p": 0.3, "extra": 0, "done": False})
-    took = []
-    for seed in range(400):
-        out = mixing._settle(rows, np.random.default_rng(seed), True)
-        assert out["done"].all() and abs((out["extra"] * out["size"]).sum() - 0.3 * sizes.sum()) <= sizes.max()
-        took.append(out["extra"].to_numpy())
-    assert np.abs(np.mean(took, axis=0) - 0.3).max() < 0.1
+def test_a_large_document_among_small_ones_stays_near_the_target(spark):
+    rng = np.random.default_rng(3)
+    sizes = [20020, *rng.integers(20, 900, 500).tolist()]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(1000 + i, "w " * (400 + (s == "c")), s) for i in range(500) for s in "bc"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bucket_rows in (2000, 40):
+        got = mixing.mix(df, bucket_rows=bucket_rows).groupBy("source_size").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+        assert all(abs(r.taken - r.target) <= max(0.005 * r.target, 400) for r in got), got
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    df = spark.range(30000).selectExpr("cast(7 as long) as doc_id", "'one two three' as text", "'a' as source").union(spark.range(2000).selectExpr("id + 10", "'four words are here'", "'b'")).repartition(6)
+    rows = mixing.mix(df)
+    assert rows.count() == 32000
+    per = {r.source_size: (r.taken, r.target) for r in rows.groupBy("source_size").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(taken - target) <= 4 for taken, target in per.values())
+    numbered = mixing._numbered(df.selectExpr("doc_id", "source", "cast(3 as long) as size", "monotonically_increasing_id() as order"))
+    assert numbered.filter("doc_id = 7").selectExpr("count(distinct copy) as n", "max(copy) as m").first()[:] == (30000, 29999)
 
 
 def test_mixed_documents_repeat_rows(docs):
@@ -335,11 +369,18 @@ def test_secret_spans_and_ledger(spark, tmp_path):
     assert sorted((r.doc_id, r.spans) for r in got) == sorted(want)
     assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() and r.n_hex == r.spans.count("hex:") for r in got)
     book = secrets.Ledger(spark, ledger)
-    assert book.scanned().count() == len({t or "" for t in SECRET_TEXTS})
+    scanned = lambda kind: next(book.scanned(r) for r in rules if r.kind == kind)
+    rules = secrets.RULES
+    assert scanned("hex").count() == len({t or "" for t in SECRET_TEXTS})
     more = docs.union(spark.createDataFrame([(91, "secret=abcdefgh")], docs.schema))
     again = secrets.scan_secrets(more, ledger).collect()
-    assert len(again) == len(got) + 1 and book.scanned().count() == len({t or "" for t in SECRET_TEXTS}) + 1
-    assert book.scanned().dropDuplicates().count() == book.scanned().count()
+    assert len(again) == len(got) + 1 and scanned("hex").count() == len({t or "" for t in SECRET_TEXTS}) + 1
+    assert scanned("hex").distinct().count() == scanned("hex").count()
+    # a new version of one rule: its pairs are scanned anew, those of the others aren't
+    rules = (rules[0], dataclasses.replace(rules[1], least=30, version="2"), rules[2])
+    third = secrets.scan_secrets(docs, ledger, rules=rules).collect()
+    assert scanned("access").count() == len({t or "" for t in SECRET_TEXTS}) and scanned("hex").count() == len({t or "" for t in SECRET_TEXTS}) + 1
+    assert sum(r.n_access for r in third) == 0 < sum(r.n_access for r in got) and sum(r.n_hex for r in third) == sum(r.n_hex for r in got)
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
@@ -356,6 +397,20 @@ def test_ids_are_the_tokenizers_own():
         assert np.frombuffer(ids(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
 
 
+def test_ids_of_long_texts():
+    import tokenizers
+
+    t, ids = tokenizers.Tokenizer.from_file(packing.tokenizer_path()), packing.Ids(packing.tokenizer_path())
+    rng = np.random.default_rng(3)
+    runs = [" " * packing.LONG_SPACE, "\n" * (packing.LONG_SPACE + 1), "\x85 \n" * packing.LONG_SPACE, "\x1c" * packing.LONG_SPACE, " b", "c", "'s", " ", "\n", "1", "!"]
+    texts = [*LONG_TEXTS, "<|" + " " * 1_000_000, *("".join(rng.choice(runs, 6)) for _ in range(40))]
+    for s in texts:
+        start = time.time()
+        got = np.frombuffer(ids(s), "<u4")
+        assert time.time() - start < 20
+        assert got.tolist() == t.encode(s, add_special_tokens=False).ids, s[:50]
+
+
 def test_packing_query(docs, none):
     import tokenizers
 
@@ -491,11 +546,13 @@ def test_toxicity_on_held_out_rows(spark, none):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    row, last = list(range(len(b) + 1)), None
     for i, x in enumerate(a):
-        row, last = [i + 1], row
+        row, last, older = [i + 1], row, last if i else None
         for j, y in enumerate(b):
             row.append(min(row[j] + 1, last[j + 1] + 1, last[j] + (x != y)))
+            if i and j and x == b[j - 1] and y == a[i - 1]:  # neighbours that changed places
+                row[-1] = min(row[-1], older[j - 1] + 1)
     return row[-1]
 
 
@@ -507,3 +564,26 @@ def test_automaton_finds_what_distances_say():
         w = "".join(rng.choice(list("abcd"), rng.integers(1, 13)))
         near = [(d, -terms[t], t) for t in terms if (d := distance(w, t)) <= toxicity.edits_of(t)]
         assert a.match(w) == ((min(near)[2], min(near)[0]) if near else None), w
+
+
+def test_signs_and_swaps_are_seen():
+    m = toxicity.Model({"scum": 5.0, "idiot": 4.0, "loser": 4.0}, {"idiot": 3.0, "loser": 3.0}, None, 0.0)
+    assert m.look("5cum") == (5.0, 0) and m.look("idoit") == (3.0, 1) and m.look("lsoer") == (3.0, 1) and m.look("l0ser") is not None
+    assert m.look("scu") is None and m.look("sucm") is None
+
+
+def test_more_hits_never_lower_the_score():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 5))
+    y = (x[:, 0] - x[:, 1] + x[:, 4] > 0).astype(float)
+    w, _ = toxicity.fit_logistic(x, y, 4)
+    assert (w[:4] >= 0).all() and w[0] > 0 and w[1] == 0 and w[4] != 0
+
+
+def test_an_id_with_both_labels_teaches_nothing(spark):
+    from locusflow.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(i, "x") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 9)] + [(3, 0), (4, 1)], "doc_id long, toxic int")
+    got = sorted(r.doc_id for r in training_sample(docs, labels, "toxic", 5, 0, 100).collect())
+    assert 3 not in got and got.count(4) == int(zlib.crc32(b"4") % 5 != 0)
