@@ -17,8 +17,11 @@ id keep a row and take no part in the least id; an empty table stays empty.
 The pipeline's stage (keep_one) is about similarity instead: five-word shingles
 and a Jaccard index of 0.8 or more. Such texts differ in up to a dozen bits, and
 balls of that radius have millions of variants. So candidates come from MinHash
-bands, their components are gathered, and in each the true similarities decide:
-two sets of 0.8 share no band once in 10^11 times.
+bands, and in each of their components the true similarities decide: two sets of
+0.8 share no band once in 10^11 times. A component of up to GATHER_BYTES is
+settled in one task. Larger ones are searched in rounds over many tasks: sets
+reached so far, CENTRES at a time, against those not reached, or all of them
+against what is left once that is small; no task holds more than a chunk of either.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from locusflow.llm.common import materialize, prepare, with_row_key
 BLOCK = 1 << 16
 #: The stage's shingle, its least Jaccard index as a fraction, and the bands of its signatures with the minima in each.
 STAGE_SHINGLE, LEAST, BANDS, MINIMA = 5, (4, 5), 64, 5
+#: Bytes of shingle hashes that a task settles at once, and sets that a round holds against all others.
+GATHER_BYTES, CENTRES = 64 << 20, 256
 _RNG = np.random.default_rng(42)
 _FACTORS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint32(1)
 _TERMS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32)
@@ -177,7 +182,103 @@ def similar_roots(sets: list[np.ndarray]) -> np.ndarray:
     return roots
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("__file", "__row")) -> DataFrame:
+def linked(centres: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """For each of others whether it has a Jaccard index of LEAST or more with any centre."""
+    p, q = LEAST
+    found = np.zeros(len(others), bool)
+    size = np.array([len(x) for x in others])
+    words, ids = np.unique(np.concatenate(others), return_inverse=True)
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    parts = np.split(ids, np.cumsum(size)[:-1])
+    flat = np.concatenate([parts[i] for i in order]) if len(order) else np.empty(0, np.int64)
+    starts, size = np.concatenate(([0], np.cumsum(size[order]))), size[order]
+    mark = np.zeros(len(words), bool)
+    for c in centres:
+        n = len(c)
+        lo, hi = np.searchsorted(size, -(-p * n // q)), np.searchsorted(size, q * n // p, side="right")
+        if not n or lo >= hi or found[order[lo:hi]].all():
+            continue
+        at = np.searchsorted(words, c)
+        own = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == c)]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own] = False
+        found[order[lo:hi][(q + p) * shared >= p * (size[lo:hi] + n)]] = True
+    return found
+
+
+def _sets(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column]
+
+
+def _gathered(sets: DataFrame) -> DataFrame:
+    """(same, root) of sets (label, same, hashes), a task a label."""
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("same")
+        same = group["same"].to_numpy()
+        return pd.DataFrame({"same": same, "root": same[similar_roots(_sets(group["hashes"]))]})
+
+    return sets.groupBy("label").applyInPandas(settle, "same bigint, root bigint")
+
+
+def _searched(sets: DataFrame, gather: int = GATHER_BYTES, centres: int = CENTRES) -> DataFrame:
+    """The same for labels of any size. In each there is one root at a time: its
+    reached sets are all held against the sets not reached before the next root
+    is taken, so no link is lost."""
+    state = materialize(sets.select("label", "same", F.length("hashes").cast("long").alias("bytes"), F.lit(None).cast("long").alias("root"), F.lit(False).alias("used")), "state")
+    settled = []
+    while True:
+        open_ = state.filter("root is null")
+        per = open_.groupBy("label").agg(F.sum("bytes").alias("left"), F.min("same").alias("first"))
+        waiting = state.filter("root is not null and not used").groupBy("label").agg(F.sum("bytes").alias("waiting"))
+        per = materialize(per.join(waiting, "label", "left"), "labels")
+        if per.isEmpty():
+            break
+        # what is left of a label without any set waiting is settled in one task, if it is small
+        small = per.filter((F.col("left") <= gather) & F.col("waiting").isNull()).select("label")
+        rest = open_.join(small, "label", "left_semi").select("same")
+        before = state.filter("root is not null").join(small, "label", "left_semi").select("same", "root")
+        settled.append(materialize(_gathered(sets.join(rest, "same")).unionByName(before), "gathered"))
+        # centres: all that wait if little is left; else some; else a new root
+        known = state.join(per, "label").join(small, "label", "left_anti")
+        by_same = Window.partitionBy("label").orderBy("same")
+        few = known.filter((F.col("left") > gather) & F.col("root").isNotNull() & ~F.col("used")).withColumn("k", F.row_number().over(by_same)).filter(F.col("k") <= centres)
+        few = few.withColumn("sum", F.sum("bytes").over(by_same)).filter((F.col("k") == 1) | (F.col("sum") <= gather)).drop("k", "sum")
+        all_ = known.filter((F.col("left") <= gather) & F.col("root").isNotNull() & ~F.col("used"))
+        new = known.filter(F.col("waiting").isNull() & (F.col("same") == F.col("first"))).withColumn("root", F.col("same"))
+        chosen = materialize(few.unionByName(all_).unionByName(new).select("label", "same", "root", "left", "waiting"), "centres")
+        targets = known.filter("root is null").join(chosen.select("same"), "same", "left_anti").select("label", "same", "left", "waiting")
+
+        def sides(rows: DataFrame, chunked, total) -> DataFrame:
+            """The chunked side of a label is dealt to parts, the other is copied to each of them."""
+            parts = F.greatest(F.lit(1), F.ceil(F.coalesce(total, F.lit(0)) / gather)).cast("long")
+            part = F.when(chunked, F.array(F.pmod(F.xxhash64("same"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+            return rows.withColumn("part", F.explode(part)).join(sets.select("same", "hashes"), "same")
+
+        many = F.col("left") > gather
+        total = F.when(many, F.col("left")).otherwise(F.col("waiting"))
+        left, right = sides(chosen, ~many, total), sides(targets, many, total)
+
+        def reach(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(others):
+                return pd.DataFrame({"same": [], "to": []})
+            hit = others["same"].to_numpy()[linked(_sets(own["hashes"]), _sets(others["hashes"]))]
+            return pd.DataFrame({"same": hit, "to": own["root"].iloc[0]})
+
+        keys = ["label", "part"]
+        reached = left.select(*keys, "root", "hashes").groupBy(*keys).cogroup(right.select(*keys, "same", "hashes").toDF(*keys, "same", "hashes").groupBy(*keys)).applyInPandas(reach, "same bigint, to bigint")
+        reached = materialize(reached.distinct().unionByName(chosen.filter("same = root and waiting is null").select("same", F.col("root").alias("to"))), "reached")
+        state = state.join(small, "label", "left_anti").join(reached, "same", "left").join(chosen.select("same", F.lit(True).alias("now")), "same", "left")
+        state = materialize(state.select("label", "same", "bytes", F.coalesce("root", "to").alias("root"), (F.col("used") | F.col("now").isNotNull()).alias("used")), "state")
+    settled.append(state.select("same", "root"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("__file", "__row"), gather: int = GATHER_BYTES) -> DataFrame:
     """doc_id, key (columns of docs that tell its rows apart) and component, equal for texts linked by similarity."""
     prepare(docs.sparkSession)
 
@@ -192,19 +293,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for texts in parts:
             yield pd.Series([shingle_set(t).tobytes() for t in texts])
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        same = group["same"].to_numpy()
-        return pd.DataFrame({"same": same, "root": same[similar_roots([np.frombuffer(x, np.uint64) for x in group["hashes"]])]})
-
     found = docs.select(F.col(id_col).alias("doc_id"), *key, signed(F.col(text_col)).alias("x"))
     rows = materialize(found.select("doc_id", *key, "x.same", "x.bands"), "signatures")
     classes = materialize(rows.groupBy("same").agg(F.min(F.struct(*key, "bands")).alias("x")).select("same", *[f"x.{k}" for k in key], "x.bands"), "distinct")
-    bands = classes.select("same", F.explode("bands").alias("v")).withColumn("a", F.min("same").over(Window.partitionBy("v")))
-    edges = bands.filter("a != same").select("a", F.col("same").alias("b")).distinct()
+    bands = classes.select("same", F.explode("bands").alias("v"))
+    shared = bands.groupBy("v").agg(F.min("same").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    edges = bands.join(shared, "v").filter("a != same").select("a", F.col("same").alias("b")).distinct()
     labels = components(edges).select(F.col("node").alias("same"), "label")
     chosen = materialize(classes.select("same", *key).join(labels, "same"), "candidates")
     sets = docs.select(*key, text_col).join(chosen, list(key)).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
-    roots = materialize(sets.groupBy("label").applyInPandas(settle, "same bigint, root bigint"), "roots")
+    sets = materialize(sets, "sets")
+    large = materialize(sets.groupBy("label").agg(F.sum(F.length("hashes").cast("long")).alias("bytes")).filter(F.col("bytes") > gather).select("label"), "large")
+    roots = materialize(_gathered(sets.join(large, "label", "left_anti")), "roots")
+    if not large.isEmpty():
+        roots = materialize(roots.unionByName(_searched(sets.join(large, "label", "left_semi"), gather)), "all-roots")
     return rows.join(roots, "same", "left").select("doc_id", *key, F.coalesce("root", "same").alias("component"))
 
 

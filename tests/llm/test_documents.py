@@ -259,6 +259,28 @@ def test_keep_one_links_similar_texts_and_no_others(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(label)) and len(set(label)) > 25
 
 
+def test_large_components_are_searched_in_rounds(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for start in range(2):  # chains: each text differs a little from the one before, so ends are far apart
+        words = [f"w{start}x{x}" for x in range(120)]
+        for _ in range(14):
+            words[int(rng.integers(0, 120))] = f"y{rng.integers(0, 10**6)}"
+            rows.append(np.array(words))
+    sets = [simhash.shingle_set(" ".join(w)) for w in rows]
+    order = rng.permutation(len(sets))
+    table = [(i % 2, int(i), sets[i].tobytes()) for i in order.tolist()]
+    want = {}
+    for label in (0, 1):
+        own = sorted(i for i in range(len(sets)) if i % 2 == label)
+        want |= {i: own[k] for i, k in zip(own, simhash.similar_roots([sets[i] for i in own]).tolist())}
+    frame = spark.createDataFrame(table, "label long, same long, hashes binary")
+    got = {r.same: r.root for r in simhash._searched(frame, 4000, 3).collect()}
+    assert len(got) == len(sets)
+    groups = lambda x: sorted(sorted(k for k in x if x[k] == v) for v in set(x.values()))
+    assert groups(got) == groups(want) and 2 < len(set(want.values())) < 28
+
+
 # mixing
 
 def plain_targets(sizes):
