@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import fresh, materialize, prepare, running, with_row_key
 
 #: Documents a bucket is meant to hold (more where few or nearly all are taken, to MOST_ROWS), and buckets that a node of the tree joins.
-BUCKET_ROWS, MOST_ROWS, FAN_IN = 2000, 50_000, 64
+BUCKET_ROWS, MOST_ROWS, FAN_IN = 2000, 10_000, 64
 #: Large documents have over 1 / LARGE of the words that a bucket is expected to take or leave, and over 1 / MOST_LARGE of their source.
 LARGE, MOST_LARGE = 4, 20_000
 MAX_COPIES = 3
