@@ -46,7 +46,8 @@ def bh(results: DataFrame) -> DataFrame:
     """Benjamini-Hochberg q-values in each user set."""
     order = Window.partitionBy("user_set").orderBy("p_value", "set_id")
     x = results.withColumn("__k", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy("user_set")))
-    q = F.min(F.least(F.lit(1.0), C("p_value") * C("__n") / C("__k"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("user_set").orderBy(C("__k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.min(F.least(F.lit(1.0), C("p_value") * C("__n") / C("__k"))).over(back)
     return x.withColumn("q_value", q).drop("__k", "__n")
 
 

@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 
 #: Positions a bin spans, by default: the tile of the interval joins, and of the sweeps.
 TILE, SWEEP_BIN = 1 << 10, 1 << 16
+#: Tiles that a row of an interval join may touch before it counts as wide.
+WIDE = 1 << 8
 
 
 def bin_of(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
 
-def _bins(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("__bin")
-
-
-def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[str, Column], carry: dict[str, tuple[str, str]]) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[str, Column], carry: dict[str, tuple[str, str]], dealt: bool = False) -> DataFrame:
     """df with __bin and, for each (name: (summary, how)) of carry, what the bins
-    before (sum, max) or after (next: least value of the bins after) summarise."""
-    binned = df.withColumn("__bin", bin_of(F.col(pos), size))
+    before (sum, max; last: the bin before) or after (next: least value of the bins
+    after) summarise. dealt: df has __bin and is partitioned by it already."""
+    binned = df if dealt else df.withColumn("__bin", bin_of(F.col(pos), size)).repartition(*keys, "__bin")
     bins = binned.groupBy(*keys, "__bin").agg(*[c.alias(f"__s_{n}") for n, c in summary.items()])
-    before, after = _bins(keys).rowsBetween(Window.unboundedPreceding, -1), _bins(keys).rowsBetween(1, Window.unboundedFollowing)
-    made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "next": lambda c: F.min(c).over(after)}
+    # frames only look back: one that looks ahead is summed anew for each row
+    up, down = Window.partitionBy(*keys).orderBy("__bin"), Window.partitionBy(*keys).orderBy(F.col("__bin").desc())
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
+    made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(up), "next": lambda c: F.min(c).over(after)}
     bins = bins.select(*keys, "__bin", *[made[how](f"__s_{s}").alias(n) for n, (s, how) in carry.items()])
     return binned.join(bins, [*keys, "__bin"])
 
@@ -36,12 +37,12 @@ def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[s
 def with_islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP_BIN) -> DataFrame:
     """df with __first: the start of the island that a row is in. Rows join an
     island if they start at most gap after its end, so adjacent rows do."""
-    x = carried(df, keys, "start", size, {"end": F.max("end")}, {"__reach": ("end", "max")})
+    # both branches of a carry use the same columns, so the deal to bins is made once
+    x = carried(df, keys, "start", size, {"end": F.max("end"), "start": F.min("start")}, {"__reach": ("end", "max")})
     w = Window.partitionBy(*keys, "__bin").orderBy("start", "end")
     reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
     x = x.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start")))
-    x = x.drop("__bin", "__reach")
-    x = carried(x, keys, "start", size, {"new": F.max("__new")}, {"__before": ("new", "max")})
+    x = carried(x.drop("__reach"), keys, "start", size, {"new": F.max("__new")}, {"__before": ("new", "max")}, dealt=True)
     # the frame holds all peers: of equal rows, any one may be the one that began the island
     first = F.greatest(F.max("__new").over(w), F.col("__before"))
     return x.withColumn("__first", first).drop("__bin", "__before", "__new")
@@ -53,20 +54,38 @@ def islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP_BIN)
     return rows.groupBy(*keys, F.col("__first").alias("start")).agg(F.max("end").alias("end")).select(*keys, "start", "end")
 
 
-def iv_join(left: DataFrame, right: DataFrame, keys: list[str] = ("chr",), tile: int = TILE, min_overlap: int = 1) -> DataFrame:
+def iv_join(left: DataFrame, right: DataFrame, keys: list[str] = ("chr",), tile: int = TILE, min_overlap: int = 1, wide: str = "") -> DataFrame:
     """Pairs of rows that overlap. Columns of left get the prefix q_, of right
     s_, the keys keep their names. Both sides are dealt to the tiles that they
     touch; a pair is kept in the first tile that both are in, so none repeats.
-    Hot tiles are split by adaptive execution, as this is a plain equi-join."""
+    Hot tiles are split by adaptive execution, as this is a plain equi-join.
+    wide: left or both, where a side may have rows over WIDE tiles; pairs with one
+    are made in tiles WIDE times as large, so that none is copied to thousands.
+    With left, a wide row of the right side has no partners but wide ones."""
     keys = list(keys)
+    large = tile * WIDE
 
     def tiled(df: DataFrame, p: str) -> DataFrame:
+        """Kinds of tiles: 0 for two narrow rows, 1 for a wide row of the left side, 2 for a narrow one of it and a wide one of the right."""
         out = df.select(*keys, *[F.col(c).alias(p + c) for c in df.columns if c not in keys])
-        last = F.greatest(F.col(p + "start"), F.col(p + "end") - 1)
-        return out.withColumn("__tile", F.explode(F.sequence(bin_of(F.col(p + "start"), tile), bin_of(last, tile))))
+        first, last = F.col(p + "start"), F.greatest(F.col(p + "start"), F.col(p + "end") - 1)
+
+        def cover(kind: int, size: int) -> Column:
+            return F.transform(F.sequence(bin_of(first, size), bin_of(last, size)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tile")))
+
+        if not wide:
+            return out.withColumn("__tile", F.explode(F.sequence(bin_of(first, tile), bin_of(last, tile))))
+        third = [cover(2, large)] if wide == "both" else []
+        broad = F.concat(cover(1, large), *third) if p == "s_" else cover(1, large)
+        narrow = F.concat(cover(0, tile), cover(1, large)) if p == "s_" else F.concat(cover(0, tile), *third)
+        return out.withColumn("__tile", F.explode(F.when(last - first >= large, broad).otherwise(narrow)))
 
     hit = (F.col("s_start") < F.col("q_end")) & (F.col("s_end") > F.col("q_start"))
-    hit &= F.col("__tile") == F.greatest(bin_of(F.col("q_start"), tile), bin_of(F.col("s_start"), tile))
+    later = F.greatest("q_start", "s_start")
+    if wide:
+        hit &= F.col("__tile.tile") == F.floor(later / F.when(F.col("__tile.kind") == 0, tile).otherwise(large))
+    else:
+        hit &= F.col("__tile") == bin_of(later, tile)
     if min_overlap > 1:
         hit &= F.least("q_end", "s_end") - F.greatest("q_start", "s_start") >= min_overlap
     return tiled(left, "q_").join(tiled(right, "s_"), [*keys, "__tile"]).filter(hit).drop("__tile")
@@ -83,6 +102,26 @@ def segments(events: DataFrame, keys: list[str], depths: list[str], size: int =
     return x.filter("end is not null")
 
 
+def runs_where(events: DataFrame, keys: list[str], depths: list[str], condition, size: int = SWEEP_BIN) -> DataFrame:
+    """(keys, start, end): the longest pieces in which condition(columns of the
+    running depths) holds. Events need not be of disjoint rows."""
+    e = events.groupBy(*keys, "pos").agg(*[F.sum(d).alias(d) for d in depths]).filter(" or ".join(f"{d} <> 0" for d in depths))
+    x = carried(e, keys, "pos", size, {d: F.sum(d) for d in depths} | {"pos": F.min("pos")}, {f"__c_{d}": (d, "sum") for d in depths})
+    w = Window.partitionBy(*keys, "__bin").orderBy("pos")
+    x = x.select(*keys, "__bin", "pos", *depths, *[(F.sum(d).over(w) + F.coalesce(f"__c_{d}", F.lit(0))).alias(f"__n_{d}") for d in depths])
+    now, was = condition({d: F.col(f"__n_{d}") for d in depths}), condition({d: F.col(f"__n_{d}") - F.col(d) for d in depths})
+    turns = x.filter(now != was).select(*keys, "__bin", "pos", now.alias("__on"))
+    turns = carried(turns, keys, "pos", size, {"pos": F.min("pos")}, {"__next": ("pos", "next")}, dealt=True)
+    return turns.withColumn("end", F.coalesce(F.lead("pos").over(w), F.col("__next"))).filter("__on").select(*keys, F.col("pos").alias("start"), "end")
+
+
+def ranked(df: DataFrame, keys: list[str], pos: str, order: list, name: str, size: int = SWEEP_BIN) -> DataFrame:
+    """df with the number of each row among those of its keys, from 1. order begins with pos, a number."""
+    x = carried(df, keys, pos, size, {"n": F.count("*")}, {"__before": ("n", "sum")})
+    inside = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(*order))
+    return x.withColumn(name, (F.coalesce("__before", F.lit(0)) + inside).cast("long")).select(*df.columns, name)
+
+
 def edges(df: DataFrame, keys: list[str], depths: dict[str, int]) -> DataFrame:
     """Start and end events of df for segments(); depths: the change at a start."""
     up = df.select(*keys, F.col("start").alias("pos"), *[F.lit(n).cast("long").alias(d) for d, n in depths.items()])
@@ -95,7 +134,8 @@ def asof(queries: DataFrame, points: DataFrame, keys: list[str], at: str, size:
     both = queries.withColumn("__pos", F.col(at)).withColumn("__q", F.lit(True)).unionByName(points.select(*keys, F.col("pos").alias("__pos"), F.col("pos").alias("__point")), allowMissingColumns=True)
     x = carried(both, keys, "__pos", size, {"hi": F.max("__point"), "lo": F.min("__point")}, {"__l": ("hi", "max"), "__r": ("lo", "next")})
     w = Window.partitionBy(*keys, "__bin").orderBy("__pos")
+    back = Window.partitionBy(*keys, "__bin").orderBy(F.col("__pos").desc())
     before = F.greatest(F.max("__point").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.col("__l"))
-    after = F.least(F.min("__point").over(w.rangeBetween(0, Window.unboundedFollowing)), F.col("__r"))
+    after = F.least(F.min("__point").over(back.rangeBetween(Window.unboundedPreceding, 0)), F.col("__r"))
     x = x.withColumn("__before", before).withColumn("__after", after).filter("__q")
     return x.select(*queries.columns, "__before", "__after")

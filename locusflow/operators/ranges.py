@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.operators.primitives import edges, islands, segments, with_islands
+from locusflow.operators.primitives import edges, islands, ranked, runs_where, segments, with_islands
+from locusflow.plans.scratch import materialize
 
 C = F.col
 
@@ -104,10 +105,9 @@ def cluster(df: DataFrame, max_gap: int = 0) -> DataFrame:
     before a chromosome comes from a summary, a row a chromosome."""
     rows = with_islands(df, ["chr"], max_gap)
     starts = rows.select("chr", "__first").distinct()
-    number = F.row_number().over(Window.partitionBy("chr").orderBy("__first"))
     per = starts.groupBy("chr").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ids = starts.withColumn("__k", number).join(per.select("chr", before.alias("__b")), "chr")
+    ids = ranked(starts, ["chr"], "__first", ["__first"], "__k").join(per.select("chr", before.alias("__b")), "chr")
     return rows.join(ids, ["chr", "__first"]).withColumn("cluster_id", C("__b") + C("__k") - 1).select(*df.columns, "cluster_id")
 
 
@@ -115,8 +115,8 @@ def gaps(df: DataFrame, sizes: DataFrame) -> DataFrame:
     """What the reduced rows leave of every chromosome in sizes."""
     inside = df.select("chr", "start", "end").join(sizes, "chr").select("chr", F.least("start", "size").alias("start"), F.least("end", "size").alias("end"))
     whole = sizes.select("chr", F.lit(0).cast("long").alias("start"), C("size").alias("end"))
-    e = edges(reduce(inside), ["chr"], {"a": 1, "b": 0}).unionByName(edges(whole, ["chr"], {"a": 0, "b": 1}))
-    return segments(e, ["chr"], ["a", "b"]).filter("a = 0 and b > 0 and start < end").select("chr", "start", "end")
+    e = edges(inside, ["chr"], {"a": 1, "b": 0}).unionByName(edges(whole, ["chr"], {"a": 0, "b": 1}))
+    return runs_where(e, ["chr"], ["a", "b"], lambda n: (n["a"] == 0) & (n["b"] > 0))
 
 
 def disjoin(df: DataFrame, keys: list[str] = ("chr",)) -> DataFrame:
@@ -125,32 +125,38 @@ def disjoin(df: DataFrame, keys: list[str] = ("chr",)) -> DataFrame:
     return segments(edges(df, keys, {"n": 1}), keys, ["n"]).filter("n > 0").select(*keys, "start", "end")
 
 
-def _two(a: DataFrame, b: DataFrame, keys: list[str], condition: str) -> DataFrame:
-    e = edges(islands(a, keys), keys, {"a": 1, "b": 0}).unionByName(edges(islands(b, keys), keys, {"a": 0, "b": 1}))
-    return segments(e, keys, ["a", "b"]).filter(condition).select(*keys, "start", "end")
+def both_edges(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return edges(a, keys, {"a": 1, "b": 0}).unionByName(edges(b, keys, {"a": 0, "b": 1}))
 
 
 def setdiff(a: DataFrame, b: DataFrame, keys: list[str] = ("chr",)) -> DataFrame:
-    return _two(a, b, list(keys), "a > 0 and b = 0")
+    """What some row of a and none of b covers, in one sweep over the raw rows. keys: chr, or chr and strand."""
+    return runs_where(both_edges(a, b, list(keys)), list(keys), ["a", "b"], lambda n: (n["a"] > 0) & (n["b"] == 0))
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str] = ("chr",)) -> DataFrame:
-    return _two(a, b, list(keys), "a > 0 and b > 0")
+    return runs_where(both_edges(a, b, list(keys)), list(keys), ["a", "b"], lambda n: (n["a"] > 0) & (n["b"] > 0))
 
 
 def intersect_all(sets: DataFrame, n: int) -> DataFrame:
     """Where all n sets (set_id) cover, islands of such pieces."""
     e = edges(islands(sets, ["chr", "set_id"]).select("chr", "start", "end"), ["chr"], {"n": 1})
-    return reduce(segments(e, ["chr"], ["n"]).filter(C("n") == n))
+    return runs_where(e, ["chr"], ["n"], lambda d: d["n"] == n)
 
 
 def union_except(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """For each set_id of ids, the union of all other sets. Pieces where one set
-    alone covers are left out for it; no row is copied to every set."""
-    reduced = islands(sets, ["chr", "set_id"])
-    skip = ids.select(C("set_id").alias("skip"))
-    rows = reduced.join(F.broadcast(skip), C("set_id") != C("skip"))
-    return islands(rows, ["skip", "chr"]).withColumnRenamed("skip", "set_id")
+    """For each set_id (a number) of ids, the union of all other sets. One sweep
+    finds where a single set covers, and which; every run goes to all ids but its
+    only owner's. The ids, one row of them, are the only side that is copied.
+    Both steps before the last are written: it would run them for each of its branches."""
+    reduced = materialize(islands(sets, ["chr", "set_id"]), "sets")
+    e = edges(reduced, ["chr", "set_id"], {"n": 1}).withColumn("owner", C("n") * C("set_id")).select("chr", "pos", "n", "owner")
+    x = segments(e, ["chr"], ["n", "owner"]).filter("n > 0").withColumn("single", C("n") == 1).withColumn("owner", F.when(C("single"), C("owner")).otherwise(0))
+    runs = islands(x, ["chr", "single", "owner"])
+    every = ids.agg(F.collect_set("set_id").alias("ids"))  # one row
+    mine = F.filter("ids", lambda i: ~C("single") | (i != C("owner")))
+    rows = materialize(runs, "runs").join(F.broadcast(every)).select("chr", "start", "end", F.explode(mine).alias("set_id"))
+    return islands(rows, ["set_id", "chr"])
 
 
 def tiles(sizes: DataFrame, width: int) -> DataFrame:

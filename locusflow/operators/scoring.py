@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.operators.primitives import iv_join
+from locusflow.operators.primitives import iv_join, ranked
 
 C = F.col
 SPECIAL = ("unk", "pad", "mask", "cls", "eos", "bos", "sep")
@@ -17,8 +17,7 @@ def universe(regions: DataFrame) -> DataFrame:
     r = regions.select("chr", "start", "end").distinct()
     per = r.groupBy("chr").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("chr").orderBy("start", "end"))
-    x = r.withColumn("__k", inside).join(per.select("chr", before.alias("__b")), "chr")
+    x = ranked(r, ["chr"], "start", ["start", "end"], "__k").join(per.select("chr", before.alias("__b")), "chr")
     return x.select("chr", "start", "end", (C("__b") + C("__k") - 1).cast("long").alias("token"), F.concat("chr", F.lit(":"), "start", F.lit("-"), "end").alias("name"))
 
 

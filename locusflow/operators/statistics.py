@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.operators.primitives import islands, iv_join
-from locusflow.operators.ranges import intersect, midpoint, overlap_width, reduce, setdiff, width
+from locusflow.operators.primitives import SWEEP_BIN, carried, islands, iv_join, segments
+from locusflow.operators.ranges import both_edges, midpoint, overlap_width, reduce, width
 
 C = F.col
 
@@ -42,12 +42,17 @@ def binned(df: DataFrame, s: DataFrame) -> DataFrame:
     return x.groupBy("chr", F.least(F.floor(C("mid") / C("width")), C("n_bins") - 1).alias("rid")).agg(F.count("*").alias("n"))
 
 
+def shared_bases(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, both): bases that rows of a, of b and of both cover, in one sweep."""
+    x = segments(both_edges(a, b, ["chr"]), ["chr"], ["a", "b"]).select(width().alias("bp"), (C("a") > 0).alias("a"), (C("b") > 0).alias("b"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, C("bp"))), F.lit(0)).cast("long")
+    return x.agg(total(C("a")).alias("a"), total(C("b")).alias("b"), total(C("a") & C("b")).alias("both"))
+
+
 def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """jaccard, coverage of a by b, overlap coefficient and bases shared, in one row."""
-    a, b = reduce(a), reduce(b)
-    one = bp(intersect(a, b), "both").join(bp(a, "a")).join(bp(b, "b"))  # three rows of one sum
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    return one.select(ratio(C("both"), C("a") + C("b") - C("both")).alias("jaccard"), ratio(C("both"), C("a")).alias("coverage"), ratio(C("both"), F.least("a", "b")).alias("overlap_coefficient"), C("both").alias("shared_bp"))
+    return shared_bases(a, b).select(ratio(C("both"), C("a") + C("b") - C("both")).alias("jaccard"), ratio(C("both"), C("a")).alias("coverage"), ratio(C("both"), F.least("a", "b")).alias("overlap_coefficient"), C("both").alias("shared_bp"))
 
 
 def pairwise_jaccard(sets: DataFrame) -> DataFrame:
@@ -64,28 +69,33 @@ def pairwise_jaccard(sets: DataFrame) -> DataFrame:
 def consensus(sets: DataFrame) -> DataFrame:
     """Union regions with the number of sets that overlap each."""
     union = reduce(sets)
-    return iv_join(union, sets.select("chr", "start", "end", "set_id")).groupBy("chr", C("q_start").alias("start"), C("q_end").alias("end")).agg(F.countDistinct("s_set_id").alias("count"))
+    return iv_join(union, sets.select("chr", "start", "end", "set_id"), wide="left").groupBy("chr", C("q_start").alias("start"), C("q_end").alias("end")).agg(F.countDistinct("s_set_id").alias("count"))
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """(chr, start, end, before, after): the end of the region before and the start of the one after, by start and end."""
+    last = F.max(F.struct("start", "end"))["end"]
+    x = carried(df.select("chr", "start", "end"), ["chr"], "start", SWEEP_BIN, {"last": last, "start": F.min("start")}, {"__l": ("last", "last"), "__r": ("start", "next")})
+    w = Window.partitionBy("chr", "__bin").orderBy("start", "end")
+    return x.select("chr", "start", "end", F.coalesce(F.lag("end").over(w), "__l").alias("before"), F.coalesce(F.lead("start").over(w), "__r").alias("after"))
 
 
 def neighbor_distances(df: DataFrame) -> DataFrame:
     """Gaps above 0 to the next region of the chromosome."""
-    w = Window.partitionBy("chr").orderBy("start", "end")
-    return df.select("chr", "start", "end", (F.lead("start").over(w) - C("end")).alias("distance")).filter("distance > 0")
+    return _neighbours(df).select("chr", "start", "end", (C("after") - C("end")).alias("distance")).filter("distance > 0")
 
 
 def nearest_neighbors(df: DataFrame) -> DataFrame:
     """The smaller of the gaps to the neighbours before and after, 0 for overlaps; lone regions are dropped."""
-    w = Window.partitionBy("chr").orderBy("start", "end")
     zero = F.lit(0).cast("long")
-    left, right = F.greatest(zero, C("start") - F.lag("end").over(w)), F.greatest(zero, F.lead("start").over(w) - C("end"))
-    has_l, has_r = F.lag("end").over(w).isNotNull(), F.lead("start").over(w).isNotNull()
-    d = F.least(F.when(has_l, left), F.when(has_r, right))
-    return df.select("chr", "start", "end", d.alias("distance")).filter("distance is not null")
+    left, right = F.greatest(zero, C("start") - C("before")), F.greatest(zero, C("after") - C("end"))
+    d = F.least(F.when(C("before").isNotNull(), left), F.when(C("after").isNotNull(), right))
+    return _neighbours(df).select("chr", "start", "end", d.alias("distance")).filter("distance is not null")
 
 
 def partition_counts(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
     """(partition, n): each query (id) counts for the first partition (priority) that it overlaps, or as intergenic."""
-    hits = iv_join(q.select("chr", "start", "end", "id"), parts.select("chr", "start", "end", "priority")).groupBy(C("q_id").alias("id")).agg(F.min("s_priority").alias("priority"))
+    hits = iv_join(q.select("chr", "start", "end", "id"), parts.select("chr", "start", "end", "priority"), wide="both").groupBy(C("q_id").alias("id")).agg(F.min("s_priority").alias("priority"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (C("priority") + 1).cast("int"))
     got = q.select("id").join(hits, "id", "left").groupBy(F.when(C("priority").isNull(), "intergenic").otherwise(name).alias("partition")).agg(F.count("*").alias("n"))
     every = q.sparkSession.createDataFrame([(n,) for n in [*names, "intergenic"]], "partition string")
@@ -95,7 +105,7 @@ def partition_counts(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFr
 def partition_bp(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
     """(partition, bp): overlaps with each partition; intergenic is what is left of the queries' width, at least 0."""
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (C("s_priority") + 1).cast("int"))
-    got = iv_join(q.select("chr", "start", "end"), parts.select("chr", "start", "end", "priority")).groupBy(name.alias("partition")).agg(F.sum(overlap_width("q_", "s_")).alias("bp"))
+    got = iv_join(q.select("chr", "start", "end"), parts.select("chr", "start", "end", "priority"), wide="both").groupBy(name.alias("partition")).agg(F.sum(overlap_width("q_", "s_")).alias("bp"))
     every = q.sparkSession.createDataFrame([(n,) for n in names], "partition string")
     got = every.join(got, "partition", "left").select("partition", F.coalesce("bp", F.lit(0)).cast("long").alias("bp"))
     rest = got.agg(F.sum("bp").alias("used")).join(bp(q, "all")).select(F.lit("intergenic").alias("partition"), F.greatest(F.lit(0).cast("long"), C("all") - C("used")).alias("bp"))
@@ -104,5 +114,4 @@ def partition_bp(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
 
 def coverage_of(a: DataFrame, b: DataFrame) -> DataFrame:
     """1 - bp(a without b) / bp(a)."""
-    left = bp(setdiff(a, b), "left").join(bp(reduce(a), "all"))
-    return left.select(F.when(C("all") > 0, 1 - C("left") / C("all")).otherwise(0.0).alias("coverage"))
+    return shared_bases(a, b).select(F.when(C("a") > 0, 1 - (C("a") - C("both")) / C("a")).otherwise(0.0).alias("coverage"))

@@ -44,7 +44,7 @@ def _justified(bases: pd.Series, start: pd.Series, ref: pd.Series, alt: pd.Serie
     for b, s, r, a, w in zip(bases, start, ref, alt, width):
         first = max(0, s - w)
         at = s - first
-        if b[at : at + len(r)] != r:
+        if at > len(b) or b[at : at + len(r)] != r:
             out.append((None, None, None, True, False))
             continue
         new_start, new_end, allele, *_ = justify(b, at, r, a)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import digests
 from locusflow.operators import alignments, coverage, enrichment, genes, overlaps, ranges, scoring, sequences, signal, statistics, variants
+from locusflow.operators.primitives import iv_join, ranked
 from locusflow.plans.adapters import Tables, with_views
 
 C = F.col
@@ -157,7 +158,7 @@ def intersect(t):
     return ranges.intersect(t.a, t.b)
 
 
-@query(_islands('(SELECT chr, start, "end" FROM iv_a UNION ALL SELECT chr, start, "end" FROM iv_b)'))
+@query(_islands('(SELECT chr, start, "end" FROM iv_a UNION SELECT chr, start, "end" FROM iv_b)'))
 def union(t):
     return ranges.union(t.a, t.b)
 
@@ -167,10 +168,11 @@ def concat(t):
     return t.a.select("start", "end").unionByName(t.b.select("start", "end")).agg(F.count("*").alias("n"), F.sum(ranges.width()).alias("bp"))
 
 
-@query(f"""WITH r AS ({_islands("(SELECT * FROM sets WHERE set_id <= 2)", "set_id, chr")}), x AS (SELECT a.chr AS chr, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM r a JOIN r b ON a.set_id = 1 AND b.set_id = 2 AND a.chr = b.chr AND a.start < b."end" AND b.start < a."end")
-{_islands("x")}""")
+@query(f"""WITH near AS (SELECT DISTINCT set_id, chr, greatest(0, start - 300) AS start, start + 300 AS "end" FROM sets), r AS ({_islands("near", "set_id, chr")}), e AS (SELECT chr, p, sum(d) AS d FROM (SELECT chr, start AS p, 1 AS d FROM r UNION ALL SELECT chr, "end", -1 FROM r) GROUP BY ALL),
+x AS (SELECT chr, p AS start, lead(p) OVER (PARTITION BY chr ORDER BY p) AS "end", sum(d) OVER (PARTITION BY chr ORDER BY p) AS n FROM e), y AS (SELECT chr, start, "end" FROM x WHERE n = (SELECT count(DISTINCT set_id) FROM sets))
+{_islands("y")}""")
 def intersect_all(t):
-    return ranges.intersect_all(t.sets.filter("set_id <= 2"), 2)
+    return ranges.intersect_all(ranges.promoters(t.sets, 300, 300), t.sets.select("set_id").distinct().count())
 
 
 @query(f"""WITH x AS (SELECT k.set_id AS set_id, s.chr AS chr, s.start AS start, s."end" AS "end" FROM sets s JOIN (SELECT DISTINCT set_id FROM sets) k ON s.set_id <> k.set_id)
@@ -184,8 +186,6 @@ def union_except(t):
 
 @query(_PAIRS + " SELECT qid AS q_id, sid AS s_id, CAST(least(qe, se) - greatest(qs, ss) AS BIGINT) AS width FROM hits")
 def overlap_pairs(t):
-    from locusflow.operators.primitives import iv_join
-
     return iv_join(t.a, t.b.drop("strand")).select("q_id", "s_id", ranges.overlap_width("q_", "s_").alias("width"))
 
 
@@ -257,8 +257,7 @@ def hits_per_set(t):
 @query("""WITH a AS (SELECT chr, start, "end", row_number() OVER (ORDER BY id) AS ord FROM iv_b), b AS (SELECT chr, start + 7 AS start, "end" + 7 AS "end", row_number() OVER (ORDER BY id) + 1 AS ord FROM iv_b)
 SELECT ord, a.chr AS chr, CASE WHEN a.chr = b.chr THEN greatest(a.start, b.start) ELSE a.start END AS start, CASE WHEN a.chr = b.chr THEN greatest(greatest(a.start, b.start), least(a."end", b."end")) ELSE a.start END AS "end" FROM a JOIN b USING (ord)""")
 def pintersect(t):
-    ord_ = F.row_number().over(Window.orderBy("id")).cast("long")
-    b = t.b.select("chr", "start", "end", ord_.alias("ord"))
+    b = ranked(t.b.select("chr", "start", "end", "id"), [], "id", ["id"], "ord").drop("id")
     return ranges.pintersect(b, b.select("chr", (C("start") + 7).alias("start"), (C("end") + 7).alias("end"), (C("ord") + 1).alias("ord")))
 
 
@@ -344,7 +343,7 @@ def partition_bp(t):
 # enrichment
 
 _LOLA = """WITH u AS (SELECT id, chr, start, "end" FROM iv_a), us AS (SELECT *, start % 3 AS user_set FROM u),
-hit AS (SELECT DISTINCT us.id AS id, us.user_set AS user_set, s.set_id AS set_id FROM us JOIN sets s ON s.set_id > 2 AND us.chr = s.chr AND us.start < s."end" AND us."end" > s.start),
+hit AS (SELECT DISTINCT us.id AS id, us.user_set AS user_set, s.set_id AS set_id FROM us JOIN sets s ON us.chr = s.chr AND us.start < s."end" AND us."end" > s.start),
 k AS (SELECT set_id, count(*) AS hits FROM hit GROUP BY set_id), n AS (SELECT user_set, count(*) AS size FROM us GROUP BY user_set), t AS (SELECT count(*) AS total FROM u), g AS (SELECT user_set, set_id, count(*) AS a FROM hit GROUP BY ALL),
 x AS (SELECT n.user_set AS user_set, k.set_id AS set_id, coalesce(g.a, 0) AS a, hits - coalesce(g.a, 0) AS b, size - coalesce(g.a, 0) AS c, total - size - hits + coalesce(g.a, 0) AS d
   FROM n CROSS JOIN k CROSS JOIN t LEFT JOIN g ON g.user_set = n.user_set AND g.set_id = k.set_id)"""
@@ -353,7 +352,7 @@ x AS (SELECT n.user_set AS user_set, k.set_id AS set_id, coalesce(g.a, 0) AS a,
 def _contingency(t):
     universe = t.a.select("id", "chr", "start", "end")
     users = universe.withColumn("user_set", C("start") % 3)
-    return enrichment.contingency(users, t.sets.filter("set_id > 2"), universe)
+    return enrichment.contingency(users, t.sets, universe)
 
 
 @query(_LOLA + " SELECT user_set, set_id, a, b, c, d FROM x")
@@ -494,8 +493,8 @@ def signal_summary(t):
     return signal.five_numbers(_region_signal(t))
 
 
-_READS = """WITH reads AS (SELECT l_orderkey AS qname, 1 + 64 * l_linenumber + CASE WHEN l_partkey % 9 = 0 THEN 1024 ELSE 0 END AS flag, CASE WHEN l_orderkey % 7 = 0 THEN 'chrM' ELSE 'chr' || (l_orderkey % 7) END AS chr,
-  l_partkey % 40 AS pos, l_suppkey % 3 AS tlen, CAST(l_quantity AS BIGINT) + 25 AS mapq, l_linenumber AS mate, l_partkey * 1000000 + l_suppkey AS line FROM lineitem WHERE l_linenumber < 3),
+_READS = """WITH reads AS (SELECT l_orderkey AS qname, 1 + 64 * (1 + (l_linenumber - 1) % 2) + CASE WHEN l_partkey % 9 = 0 THEN 1024 ELSE 0 END AS flag, CASE WHEN l_orderkey % 7 = 0 THEN 'chrM' ELSE 'chr' || (l_orderkey % 7) END AS chr,
+  l_partkey % 40 AS pos, l_suppkey % 3 AS tlen, CAST(l_quantity AS BIGINT) + 25 AS mapq, 1 + (l_linenumber - 1) % 2 AS mate, l_partkey * 10000000 + l_suppkey * 10 + l_linenumber AS line FROM lineitem),
 k AS (SELECT * FROM reads WHERE mapq >= 30), u AS (SELECT * FROM k WHERE chr <> 'chrM'),
 e AS (SELECT chr, qname, mate, arg_max(pos, line) AS pos, arg_max(tlen, line) AS tlen FROM u GROUP BY ALL),
 c AS (SELECT count(*) AS n FROM e a JOIN e b ON a.qname = b.qname AND a.mate = 1 AND b.mate = 2 GROUP BY a.chr, a.pos, a.tlen, b.pos, b.tlen),
@@ -506,11 +505,11 @@ SELECT CAST(total AS BIGINT) AS total, distinct_ AS "distinct", one, two, (SELEC
 
 @query(_READS)
 def library_complexity(t):
-    l, key = t.read("lineitem").filter("l_linenumber < 3"), C("l_orderkey")
-    flag = 1 + 64 * C("l_linenumber") + F.when(C("l_partkey") % 9 == 0, 1024).otherwise(0)
+    l, key = t.read("lineitem"), C("l_orderkey")
+    flag = 1 + 64 * (1 + (C("l_linenumber") - 1) % 2) + F.when(C("l_partkey") % 9 == 0, 1024).otherwise(0)
     chr_ = F.when(key % 7 == 0, "chrM").otherwise(F.concat(F.lit("chr"), key % 7))
     pos, tlen = (C("l_partkey") % 40).cast("long"), (C("l_suppkey") % 3).cast("long")
-    return alignments.library_complexity(l.select(key.alias("qname"), flag.cast("long").alias("flag"), chr_.alias("chr"), pos.alias("pos"), tlen.alias("tlen"), (C("l_quantity").cast("long") + 25).alias("mapq"), F.lit(0).cast("long").alias("length"), (C("l_partkey") * 1000000 + C("l_suppkey")).alias("line")))
+    return alignments.library_complexity(l.select(key.alias("qname"), flag.cast("long").alias("flag"), chr_.alias("chr"), pos.alias("pos"), tlen.alias("tlen"), (C("l_quantity").cast("long") + 25).alias("mapq"), F.lit(0).cast("long").alias("length"), (C("l_partkey") * 10000000 + C("l_suppkey") * 10 + C("l_linenumber")).alias("line")))
 
 
 @query(_PART + """, f AS (SELECT a.id, coalesce(min(priority), 3) AS k FROM iv_a a LEFT JOIN h ON h.id = a.id GROUP BY a.id), o AS (SELECT partition, k, CAST(count(f.k) AS DOUBLE) AS observed FROM names LEFT JOIN f USING (k) GROUP BY partition, k),
@@ -557,8 +556,9 @@ def compare_collections(t):
 
 
 def _alleles(t):
-    s = _sequences(t).filter(F.length("seq") > 40)
-    v = s.select(C("doc_id").alias("id"), C("doc_id").cast("string").alias("name"), (10 + C("doc_id") % 20).cast("long").alias("start"), "seq")
+    s = _sequences(t)
+    start = F.least(10 + C("doc_id") % 20, F.greatest(F.lit(0), F.length("seq") - 4)).cast("long")
+    v = s.select(C("doc_id").alias("id"), C("doc_id").cast("string").alias("name"), start.alias("start"), "seq")
     ref = C("seq").substr(C("start").cast("int") + 1, F.lit(1) + (C("id") % 3).cast("int"))
     v = v.withColumn("ref", ref).withColumn("alt", F.concat(F.substring("ref", 1, 1), F.when(C("id") % 2 == 0, C("ref")).otherwise("")))
     return v.drop("seq"), sequences.chunks(s.select(C("doc_id").cast("string").alias("name"), "seq")), s
