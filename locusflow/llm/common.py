@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusflow.plans.scratch import materialize, scratch, shared_dir  # noqa: F401
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -22,42 +20,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [_ROOT, *paths] if p)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only
-    where that is unset and Spark runs in one process, a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.TemporaryDirectory(prefix="locusflow-"))
-    return "file://" + _LOCAL[0].name
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/locusflow-{what}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; the folder is temporary
-        pass
-
-
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, a
-    lost executor costs no recomputation, and the planner sees real sizes."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(columns: list[str], name: str) -> str:
     """name, lengthened until no column has it."""
     taken = {c.lower() for c in columns}
