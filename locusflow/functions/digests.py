@@ -22,13 +22,21 @@ def sha512t24u(c: Column) -> Column:
 
 
 def set_identifiers(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, identifier): md5 of the md5s of all chromosomes, starts and ends, in the order of the regions."""
+    """(keys, identifier): md5 of the md5s of all chromosomes, starts and ends, in the
+    order of the regions. As in file_digest(), a set's regions meet in one row."""
     rows = F.array_sort(F.collect_list(F.struct("chr", "start", "end")))
     x = df.groupBy(*keys).agg(rows.alias("r"))
     part = lambda f: F.md5(F.array_join(F.transform("r", lambda s: s[f].cast("string")), ","))
     return x.select(*keys, F.md5(F.concat_ws(",", part("chr"), part("start"), part("end"))).alias("identifier"))
 
 
+def file_digest(df: DataFrame) -> DataFrame:
+    """md5 of the sorted regions as lines of text. A digest has one input, so all lines of a set meet in one row: for sets of up to some 50 million regions."""
+    line = F.struct("chr", "start", "end", *[c for c in ("rest",) if c in df.columns])
+    text = F.transform(F.array_sort(F.collect_list(line)), lambda r: F.concat_ws("\t", r["chr"], r["start"], r["end"], *([r["rest"]] if "rest" in df.columns else [])))
+    return df.agg(F.md5(F.concat(F.array_join(text, "\n"), F.lit("\n"))).alias("digest"))
+
+
 def list_identifier(identifiers: DataFrame) -> DataFrame:
     return identifiers.agg(F.md5(F.array_join(F.array_sort(F.collect_list("identifier")), "")).alias("identifier"))
 

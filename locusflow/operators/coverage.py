@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.operators.primitives import segments
+from locusflow.operators.statistics import neighbours
 
 C = F.col
 
@@ -36,3 +37,12 @@ def fixed_step(track: DataFrame, step: int = 1) -> DataFrame:
     """(chr, pos, count) at positions that step divides; as many rows as positions covered."""
     first = F.ceil(C("start") / step) * step
     return track.filter(first < C("end")).select("chr", F.explode(F.sequence(first, C("end") - 1, F.lit(step).cast("long"))).alias("pos"), "count")
+
+
+def filled(track: DataFrame, max_gap: int) -> DataFrame:
+    """The track with runs of 0 between neighbouring runs of a chromosome: none for
+    0, those of up to max_gap positions, or all for -1."""
+    if max_gap == 0:
+        return track
+    gaps = neighbours(track).select("chr", C("end").alias("start"), C("after").alias("end"), F.lit(0).cast(track.schema["count"].dataType).alias("count")).filter("end > start")
+    return track.unionByName(gaps if max_gap < 0 else gaps.filter(C("end") - C("start") <= max_gap))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from locusflow.sources.readers import lines
+from locusflow.operators.ranges import reduce
+from locusflow.sources.readers import bed, lines
 
 C = F.col
 FEATURES = ("gene", "exon", "three_prime_utr", "five_prime_utr", "UTR", "CDS")
@@ -27,6 +28,18 @@ def gtf(spark: SparkSession, path: str, protein_coding: bool = False, ucsc: bool
     return x.select(name.alias("chr"), F.greatest(C("s").cast("long") - 1, F.lit(0).cast("long")).alias("start"), C("e").cast("long").alias("end"), "strand", "feature", F.when(id_ != "", id_).alias("transcript"))
 
 
+def model_from_beds(spark: SparkSession, genes: str, exons: str, three_utr: str | None = None, five_utr: str | None = None) -> DataFrame:
+    """(chr, start, end, strand, part) of BED files, each part reduced by strand; strand is column 6, * where there is none."""
+    out = None
+    for part, path in (("gene", genes), ("exon", exons), ("three_utr", three_utr), ("five_utr", five_utr)):
+        if path is not None:
+            strand = F.get(F.split("rest", "\t", -1), F.lit(2))
+            x = bed(spark, path).withColumn("strand", F.when(strand.isin("+", "-"), strand).otherwise("*"))
+            x = reduce(x, ["chr", "strand"]).select("chr", "start", "end", "strand", F.lit(part).alias("part"))
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
 def gene_model(records: DataFrame) -> DataFrame:
     """(chr, start, end, strand, part): genes, exons, three_utr and five_utr of
     gtf(). An untyped UTR is placed by its middle against the middle of its

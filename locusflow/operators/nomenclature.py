@@ -44,6 +44,12 @@ def parse(column: str) -> Column:
     )
 
 
+def gene_symbol(name: Column) -> Column:
+    """Whether a name is that of a gene rather than an accession or a chromosome: no
+    version, no prefix of a namespace (fixed values), no scaffold number."""
+    return ~(name.contains(".") | (name == "MT") | name.rlike("^(NC_|NM_|NR_|NG_|NW_|NT_|XM_|XR_|ENST|ENSG|chr|(GL|KI)[0-9])"))
+
+
 def alleles(described: DataFrame, pieces: DataFrame, transcripts: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
     """(id, name, start, ref, alt) on the genome, for variants.normalized(), of
     described (id, hgvs), id a key. g. names a sequence of pieces; c. and n. one

@@ -174,6 +174,29 @@ def pintersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select("ord", "chr", start.alias("start"), end.alias("end"))
 
 
+def on_chromosomes(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.filter(C("chr").isin(*names))
+
+
+def chromosomes(df: DataFrame) -> DataFrame:
+    return df.select("chr").distinct()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with ord, from 0, by chromosome, start and end: where a sorted file has each row."""
+    per = df.groupBy("chr").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = ranked(df, ["chr"], "start", ["start", "end"], "__k").join(per.select("chr", before.alias("__b")), "chr")
+    return x.withColumn("ord", C("__b") + C("__k") - 1).select(*df.columns, "ord")
+
+
+def rows_between(df: DataFrame, first: int, last: int) -> DataFrame:
+    """The rows of numbered() whose ord is from first to before last; negative ones count from the end."""
+    n = F.broadcast(df.agg(F.count("*").alias("__n")))  # one row
+    at = lambda k: F.lit(k) if k >= 0 else C("__n") + k
+    return df.join(n).filter((C("ord") >= at(first)) & (C("ord") < at(last))).select(*df.columns)
+
+
 def karyotype_key(column: str) -> list[Column]:
     """Numbers, X, Y, M or MT, then the others by name."""
     name = F.regexp_replace(C(column), "^chr", "")

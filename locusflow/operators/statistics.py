@@ -72,7 +72,7 @@ def consensus(sets: DataFrame) -> DataFrame:
     return iv_join(union, sets.select("chr", "start", "end", "set_id"), wide="left").groupBy("chr", C("q_start").alias("start"), C("q_end").alias("end")).agg(F.countDistinct("s_set_id").alias("count"))
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
+def neighbours(df: DataFrame) -> DataFrame:
     """(chr, start, end, before, after): the end of the region before and the start of the one after, by start and end."""
     last = F.max(F.struct("start", "end"))["end"]
     x = carried(df.select("chr", "start", "end"), ["chr"], "start", SWEEP_BIN, {"last": last, "start": F.min("start")}, {"__l": ("last", "last"), "__r": ("start", "next")})
@@ -82,7 +82,7 @@ def _neighbours(df: DataFrame) -> DataFrame:
 
 def neighbor_distances(df: DataFrame) -> DataFrame:
     """Gaps above 0 to the next region of the chromosome."""
-    return _neighbours(df).select("chr", "start", "end", (C("after") - C("end")).alias("distance")).filter("distance > 0")
+    return neighbours(df).select("chr", "start", "end", (C("after") - C("end")).alias("distance")).filter("distance > 0")
 
 
 def nearest_neighbors(df: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def nearest_neighbors(df: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     left, right = F.greatest(zero, C("start") - C("before")), F.greatest(zero, C("after") - C("end"))
     d = F.least(F.when(C("before").isNotNull(), left), F.when(C("after").isNotNull(), right))
-    return _neighbours(df).select("chr", "start", "end", d.alias("distance")).filter("distance is not null")
+    return neighbours(df).select("chr", "start", "end", d.alias("distance")).filter("distance is not null")
 
 
 def partition_counts(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:

@@ -69,6 +69,13 @@ def to_genome(positions: DataFrame, transcripts: DataFrame, by: str = "tx") -> D
     return x.withColumn("position", position_of(place, C("intronic"))).select(*positions.columns, "chr", "strand", "position")
 
 
+def from_genome(positions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """positions (tx, position, ...) with offset: the place in the transcript, null in
+    introns and outside. Positions of unknown transcripts are dropped."""
+    x = positions.join(indexed(transcripts), "tx")
+    return x.withColumn("__o", offset_of(C("position"))).select(*positions.columns, C("__o").alias("offset"))
+
+
 def coding_length() -> Column:
     """Bases of the exons in the coding part."""
     part = F.transform("exons", lambda e: F.greatest(F.least(e["end"], C("cds_end")) - F.greatest(e["start"], C("cds_start")), F.lit(0)).cast("long"))

@@ -89,6 +89,12 @@ def allele_id(accession: Column, start: Column, end: Column, allele: Column) ->
     return F.concat(F.lit("ga4gh:VA."), sha512t24u(state))
 
 
+def length_allele_id(accession: Column, start: Column, end: Column, length: Column, unit: Column) -> Column:
+    """The identifier of an allele given as a length of repeats of a unit's length; its bases are no part of it."""
+    state = F.concat(F.lit('{"location":"'), location_digest(accession, start, end), F.lit('","state":{"length":'), length.cast("string"), F.lit(',"repeatSubunitLength":'), unit.cast("string"), F.lit(',"type":"ReferenceLengthExpression"},"type":"Allele"}'))
+    return F.concat(F.lit("ga4gh:VA."), sha512t24u(state))
+
+
 def identified(variants: DataFrame, pieces: DataFrame, accessions: DataFrame, mismatch: str = "raise") -> DataFrame:
     """normalized() with vrs_id. accessions: (name, accession); variants of other sequences are skipped."""
     known = variants.join(accessions.select("name"), "name", "left_semi")

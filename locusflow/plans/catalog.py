@@ -591,3 +591,6 @@ def event_sessions(t):
 def event_days(t):
     w = F.window("ts", "1 day")
     return t.read("events").groupBy("event_type", w).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select("event_type", F.unix_micros(C("window.start").cast("timestamp")).alias("day"), "n", "value")
+
+
+from locusflow.plans import more  # noqa: E402, F401 - registers its queries

@@ -7,7 +7,7 @@ A line that can't be parsed raises, unless a reader says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -110,3 +110,36 @@ def signal_matrix(spark: SparkSession, path: str) -> DataFrame:
     x = x.withColumn("f", F.split(C(f"`{x.columns[0]}`"), "_")).filter(F.size("f") == 3)
     x = x.select(_field(0).alias("chr"), _long(_field(1)).alias("start"), _long(_field(2)).alias("end"), *[C(f"`{c}`").cast("double").alias(c) for c in conditions])
     return x.filter("start is not null and end is not null").unpivot(["chr", "start", "end"], [C(f"`{c}`") for c in conditions], "condition", "value")
+
+
+#: Endings of file names, without .gz, and what they hold; fixed values.
+KINDS = {"bed": "bed", "narrowpeak": "narrowpeak", "broadpeak": "bed", "bam": "bam", "sam": "sam", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "gtf": "gtf", "vcf": "vcf", "toml": "config"}
+
+
+def kind_of(path: str) -> tuple[str, bool]:
+    """(kind, gzip) of a file by its name; unknown for other endings."""
+    name = path.lower()
+    gz = name.endswith(".gz")
+    return KINDS.get(name.removesuffix(".gz").rpartition(".")[2], "unknown"), gz
+
+
+def scored_bed(spark: SparkSession, path: str, kind: str = "bed") -> DataFrame:
+    """(chr, start, end, score): column 5 of a BED file, column 7 of a narrowPeak file; 1 where there is none."""
+    x = bed(spark, path)
+    column = F.get(F.split("rest", "\t", -1), F.lit({"bed": 1, "narrowpeak": 3}[kind]))
+    return x.select("chr", "start", "end", F.coalesce(column.try_cast("double"), F.lit(1.0)).alias("score"))
+
+
+def bed_list(spark: SparkSession, path: str, folder: str | None = None) -> list[str]:
+    """The paths that a list of BED files names, one a line, on the driver: relative
+    ones are in folder. Lines with # and blank ones are skipped."""
+    rows = lines(spark, path).orderBy("block", "line").select(F.trim("value").alias("v")).filter("v <> '' and v not like '#%'").collect()
+    return [r["v"] if "/" in r["v"][:1] or "://" in r["v"] or folder is None else f"{folder.rstrip('/')}/{r['v']}" for r in rows]
+
+
+def region_sets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(set_id, file, chr, start, end, rest) of BED files, or of those in a folder;
+    set_id numbers the files by name from 0: a row a file is numbered."""
+    x = bed(spark, paths)
+    files = x.select("file").distinct().withColumn("set_id", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
+    return x.join(F.broadcast(files), "file").select("set_id", "file", "chr", "start", "end", "rest")

@@ -70,3 +70,37 @@ def pseudobulk(fragments: DataFrame, path: str) -> None:
     """A folder of gzip BED files for each cluster of (chr, start, end, barcode, support, cluster)."""
     x = fragments.select("cluster", F.concat_ws("\t", "chr", "start", "end", "barcode", "support").alias("value"))
     x.write.mode("overwrite").partitionBy("cluster").option("compression", "gzip").text(path)
+
+
+def wig_variable(track: DataFrame, path: str, size: int = SWEEP_BIN) -> None:
+    """Variable-step lines of each position covered; bins of positions begin a block of their own."""
+    bins = F.sequence(bin_of(C("start"), size), bin_of(C("end") - 1, size))
+    x = track.withColumn("__bin", F.explode(bins))
+    x = x.withColumn("start", F.greatest("start", C("__bin") * size)).withColumn("end", F.least("end", (C("__bin") + 1) * size))
+    first = F.row_number().over(Window.partitionBy("chr", "__bin").orderBy("start")) == 1
+    head = F.when(first, F.concat(F.lit("variableStep chrom="), "chr", F.lit("\n"))).otherwise("")
+    values = F.array_join(F.transform(F.sequence("start", C("end") - 1), lambda p: F.concat_ws(" ", p.cast("string"), C("count").cast("string"))), "\n")
+    _text(x.withColumn("value", F.concat(head, values)).orderBy("chr", "start").select("value"), path)
+
+
+def dense_matrix(counts: DataFrame, path: str, row: str = "barcode", column: str = "peak", value: str = "n", columns: list | None = None) -> None:
+    """A gzip CSV, a line a row and a field a column. columns: all of them, or those given; a line holds each, so they should be few."""
+    x = counts.groupBy(row).pivot(column, columns).agg(F.sum(value)).na.fill(0)
+    x.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+
+
+#: The columns of a table of enrichment results, and what they are made of; fixed values.
+RESULTS = (
+    ("userSet", lambda: (C("user_set") + 1).cast("string")), ("dbSet", lambda: (C("set_id") + 1).cast("string")), ("collection", lambda: C("collection")),
+    ("pValueLog", lambda: F.format_string("%.4f", "p_value_log")), ("oddsRatio", lambda: F.when(F.isnan("odds_ratio"), "NaN").when(C("odds_ratio") == float("inf"), "inf").otherwise(F.format_string("%.4f", "odds_ratio"))), ("support", lambda: C("a").cast("string")),
+    ("rnkPV", lambda: C("rnk_pv").cast("string")), ("rnkOR", lambda: C("rnk_or").cast("string")), ("rnkSup", lambda: C("rnk_sup").cast("string")), ("maxRnk", lambda: C("max_rnk").cast("string")), ("meanRnk", lambda: F.format_string("%.2f", "mean_rnk")),
+    ("b", lambda: C("b").cast("string")), ("c", lambda: C("c").cast("string")), ("d", lambda: C("d").cast("string")), ("description", lambda: C("description")), ("cellType", lambda: C("cell_type")), ("tissue", lambda: C("tissue")),
+    ("antibody", lambda: C("antibody")), ("treatment", lambda: C("treatment")), ("dataSource", lambda: C("data_source")), ("filename", lambda: C("filename")),
+    ("qValue", lambda: F.when(C("q_value").isNull(), "NA").otherwise(F.regexp_replace(F.format_string("%.6e", "q_value"), "e([+-])0*([0-9])", "e$1$2"))), ("size", lambda: C("size").cast("string")),
+)
+
+
+def enrichment_results(results: DataFrame, path: str) -> None:
+    """Annotated, ranked results with q-values as tab-separated lines, the surest first; sets are numbered from 1."""
+    x = results.orderBy(C("p_value_log").desc(), "mean_rnk").select(*[F.coalesce(make(), F.lit("")).alias(name) for name, make in RESULTS])
+    x.write.mode("overwrite").option("header", True).option("sep", "\t").option("emptyValue", "").csv(path)
