@@ -20,6 +20,7 @@ are packed each; rows with a null id too; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from array import array
 from bisect import bisect_left
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.common import materialize, prepare
 
+log = logging.getLogger(__name__)
 CAPACITY, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Partial fillings looked at for a bin, and for all bins once the search has turned back.
@@ -199,17 +201,18 @@ def fillings(left: dict[int, int], room: int, spare: int) -> tuple[list[tuple[in
     return [f for _, f in sorted(found, key=lambda x: x[0])], nodes
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): bins that hold every piece once."""
+def pack(counts: dict[int, int], capacity: int = CAPACITY, report: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, times): bins that hold every piece once. report gets their number,
+    the lower bound, and whether they are proven the fewest or a cap was met."""
     fit = best_fit(counts, capacity)
     best, bins = fit, sum(n for _, n in fit)
     least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
     left, taken, used, waste = dict(counts), [], 0, 0
     seen: dict[int, int] = {}
-    budget, turned = SEARCH, False
+    budget, turned, capped = SEARCH, False, False
 
     def moves() -> Iterator[tuple[tuple[int, ...], int]]:
-        nonlocal budget
+        nonlocal budget, capped
         state = xxhash.xxh3_128_intdigest(np.array(sorted(left.items()), np.int64).tobytes())
         if seen.get(state, bins) <= used:
             return
@@ -220,6 +223,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         left[largest] += 1
         found, nodes = fillings(rest, capacity - largest, (bins - 1) * capacity - total - waste)
         budget -= nodes if turned else 0
+        capped |= nodes >= NODES
         for f in found:
             kind = (largest, *f)
             most = min(left[x] // c for x, c in Counter(kind).items())
@@ -255,6 +259,8 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             taken.pop()
             take(move[0], -move[1])
             turned = True
+    if report is not None:
+        report |= {"bins": bins, "bound": least, "fewest": bins <= least or not (capped or budget <= 0)}
     return best
 
 
@@ -280,7 +286,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = pieces(docs, id_col, text_col, tokenizer, capacity)
     counts = materialize(found.groupBy("task", "length").count(), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
-    at = spark.sparkContext.broadcast(places(pack(histogram, capacity)))
+    report: dict = {}
+    bins = pack(histogram, capacity, report)
+    log.info("%(bins)d sequences, at least %(bound)d; proven the fewest: %(fewest)s", report)
+    if len(histogram) > capacity:
+        raise AssertionError("more lengths than a sequence has places")
+    # at most capacity lengths; equal bins are one run, so this grows with the kinds of bins, not with documents
+    at = spark.sparkContext.broadcast(places(bins))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     offsets = materialize(counts.select(F.col("task"), F.col("length"), F.coalesce(before, F.lit(0)).cast("long").alias("before")), "offsets")
     ranked = found.join(offsets, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))

@@ -342,10 +342,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that score below threshold, with all their columns."""
+    """The documents that score below threshold, with all their columns. Without
+    labels of both kinds nothing can be told apart: all stay, unless those there
+    are say toxic."""
     prepare(docs.sparkSession)
     names = docs.columns
     score = fresh(names, "__toxic")
     model = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows)
     scored = docs.withColumn(score, score_udf(model, docs.sparkSession)(F.col(text_col)))
-    return scored.filter(F.col(score) < threshold).select(*names)
+    return scored.filter(F.col(score) < (threshold if model.weights is not None else max(threshold, 0.5 + 1e-9))).select(*names)

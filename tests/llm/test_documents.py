@@ -163,6 +163,42 @@ def test_long_texts_take_linear_time(t):
     assert base[-1] == (0, len(t) + 1, len(t) + 20) and time.time() - start < 20
 
 
+def test_pii_query_matches_the_patterns(spark):
+    rng = np.random.default_rng(15)
+    parts = ["a", "@x.com", "x@y.de ", "1.2.3.4", "4539578763621486", "+1 (132) 555-1352", " ", "\n", "é", "😀", "words ", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(300)] + [None, ""]
+    rows = pii.detect_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_spans(texts[r.doc_id] or "")
+        listed = ",".join(f"{list(PATTERNS)[k]}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert {x for x in listed.split(",") if x} <= set(r.spans.split(",")) and sum([r.n_email, r.n_ip, r.n_card, r.n_phone]) == len([x for x in r.spans.split(",") if x])
+
+
+CLASHES = ("__pii", "__toxic", "__row", "__file", "__n", "__part", "size", "copies", "label", "component", "_metadata", "x", "y", "p", "done")
+
+
+def test_names_that_operators_use_inside_stay(spark, docs):
+    wide = docs.drop("size")
+    for name in CLASHES:
+        wide = wide.withColumn(name, F.concat(F.lit(f"{name}="), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    labels = spark.createDataFrame([(3, 0), (20, 1), (21, 0)], "doc_id long, toxic int")
+    for stage in (lambda d: toxicity.drop_toxic(d, labels), simhash.keep_one, pii.mask_pii, mixing.mixed_documents):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}={'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+    assert packing.pack_documents(wide).count() >= len(ROWS)
+    assert simhash.op6_result(wide).count() == pii.detect_pii(wide).count() == secrets.scan_secrets(wide).count() == mixing.op7_result(wide).count() == len(ROWS)
+
+
+def test_stages_of_an_empty_table(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for stage in (lambda d: toxicity.drop_toxic(d, labels), simhash.keep_one, pii.mask_pii, mixing.mixed_documents, packing.pack_documents):
+        assert stage(none).count() == 0
+
+
 def test_pii_query(docs, none):
     got = pii.detect_pii(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("me@mail.example.com"))))
     rows = got.collect()
@@ -504,10 +540,11 @@ def test_packing_branches_over_fillings():
     lost = [66, 62, 61, 58, 51, 30, 27, 26, 26, 25, 20, 17, 12]
     cases = [lost]
     rng = np.random.default_rng(12)
-    cases += [sorted(rng.integers(8, 70, int(rng.integers(6, 12))).tolist(), reverse=True) for _ in range(60)]
+    cases += [sorted(rng.integers(8, 70, int(rng.integers(6, 12))).tolist(), reverse=True) for _ in range(1000)]
     for items in cases:
-        counts = {x: items.count(x) for x in items}
-        bins = packing.pack(counts, 100)
+        counts, report = {x: items.count(x) for x in items}, {}
+        bins = packing.pack(counts, 100, report)
+        assert report["fewest"] and report["bins"] == sum(t for _, t in bins)
         seen = {}
         for kind, times in bins:
             assert sum(kind) <= 100

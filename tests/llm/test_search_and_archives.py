@@ -1,11 +1,13 @@
 """Vector searches and archives against plain versions; the pipeline as a whole."""
 
 import hashlib
+import math
 import struct
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from locusflow.llm import topk, vptree, warc
@@ -79,6 +81,59 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string"), rows
 
 
+def test_archives_are_checked_when_read(spark):
+    good = warc.record(5, "1:2", "http://a", b"x" * 2000, "2020-01-01T00:00:00Z")
+    assert warc.parse(good)[:5] == (5, "http://a", 2000, hashlib.sha1(b"x" * 2000).hexdigest(), "response") and b"WARC-Date: 2020-01-01T00:00:00Z" in good
+    for bad in (good.replace(b"xxx", b"xyx", 1), good[:-5], good.replace(b"Bytes: 2000", b"Bytes: 2001")):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+    again = warc.record(4, "1:1", "http://b", b"x" * 2000, "2020-01-01T00:00:00Z", 5, "1:2")
+    assert warc.parse(again)[2:] == (2000, hashlib.sha1(b"x" * 2000).hexdigest(), "revisit", 5, b"") and warc.record_id("1:2").encode() in again
+
+
+def test_record_ids_are_unique_and_referred_to(spark):
+    df, _ = pages(spark)
+    manifest = warc.write_archives(df.withColumn("size", F.lit(1)).withColumn("key", F.lit(2)).withColumn("of", F.lit(3)), scratch(spark, "warc")).collect()
+    heads = [dict(x.split(": ", 1) for x in r.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:] if ": " in x) for m in manifest for r in warc.read_archive(m.archive)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == 11 and all(h["WARC-Date"].endswith("Z") for h in heads)
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+
+
+def test_whole_products_beyond_doubles(spark):
+    big = [(0, [2.0**20, 1 / 256]), (50, [2.0**20, 1 / 256]), (51, [2.0**20, 2 / 256]), (52, [2.0**20, 3 / 256]), (53, [1e300, 0.0]), (54, [-1e300, 1.0]), (55, [0.5, 0.5]), (56, [2.0**19, -7.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_products(df, shard_rows=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in big}
+    for q in (0, 50):
+        exact = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        assert sorted(got[q]) == [(n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(exact, 1)]
+
+
+def test_queries_skip_cells_that_cannot_hold_more(spark):
+    from locusflow.llm import blocks
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 10
+    x = (centres[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, 8)) * 0.05).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cells = blocks.Cells("pivot", np.empty(0), {8: centres})
+    cell, radius, longest = cells.assign(8, np.array(x))
+    cells.fill([{"dim": 8, "cell": c, "n": 1, "radius": radius[cell == c].max(), "longest": longest[cell == c].max()} for c in range(12)])
+    at, most = cells.bounds(8, np.array(x[:50]))
+    product = np.array(x[:50]) @ np.array(x).T
+    assert all((product[:, cell == c].max(axis=1) <= most[:, k]).all() for k, c in enumerate(at))
+    least = np.sort(product, axis=1)[:, -20]
+    assert (most >= least[:, None]).sum() < 50 * 6
+    want = plain(df, 20, 20, lambda v: v, False)
+    got = {}
+    for r in vptree.nearest(df, factor=1.0, shard_rows=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    assert {q: [(r, i, -s) for r, (s, i) in enumerate(w, 1)] for q, w in want.items()} == {q: sorted(g) for q, g in got.items()}
+
+
 def test_archives_round_trip(spark):
     df, rows = pages(spark)
     manifest = warc.write_archives(df, scratch(spark, "warc"))
