@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialize, prepare, scratch, with_row_key
+from locusflow.llm.common import hash_sample, materialize, prepare, scratch, with_row_key
 
 REVISIT_FROM = 1000
 #: The dictionary's size, and its sample: records, and bytes from each.
@@ -178,7 +178,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     keyed, key = with_row_key(pages)
     place = F.concat_ws(":", *key).alias("key")
     rows = keyed.select(F.col(id_col).cast("long").alias("page_id"), place, F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
-    sample = rows.select("page_id", "key", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy(F.xxhash64("key")).limit(SAMPLE_RECORDS).collect()
+    sample = rows.select("page_id", "key", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"))
+    sample = hash_sample(sample, [F.col("key")], SAMPLE_RECORDS, pages.count()).collect()
     made = spark.sparkContext.broadcast(dictionary([record(r["page_id"], r["key"], r["url"], bytes(r["payload"]), date) for r in sample]))  # of DICTIONARY_BYTES
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     again = rows.filter(F.col("size") >= REVISIT_FROM).groupBy("digest", "size").agg(F.max(F.struct("page_id", "key")).alias("of"), F.count("*").alias("n"))
