@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialize, prepare
+from locusflow.llm.common import hash_sample, materialize, prepare
 
 SHARD_ROWS, BLOCK_QUERIES, MOST_CELLS = 8192, 8192, 2048
 
@@ -83,12 +83,13 @@ class Cells:
 
 def _cells(vectors: DataFrame, by: str, shard_rows: int) -> Cells:
     """Pivots are a fixed sample of vectors (those of the smallest hashes); lengths are cut at quantiles."""
-    wanted = min(MOST_CELLS, max(1, -(-vectors.count() // shard_rows)))
+    total = vectors.count()
+    wanted = min(MOST_CELLS, max(1, -(-total // shard_rows)))
     if by == "length":
         length = vectors.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("l"))
         cuts = length.approxQuantile("l", [i / wanted for i in range(1, wanted)], 1e-3) if wanted > 1 else []
         return Cells(by, np.unique(np.array(cuts, np.float64)), {})
-    rows = vectors.select("dim", "v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h", "v").limit(wanted).collect()
+    rows = hash_sample(vectors.select("dim", "v", "vec_id"), [F.col("v"), F.col("vec_id")], wanted, total).collect()
     own: dict[int, list] = {}
     for r in rows:
         own.setdefault(r["dim"], []).append(r["v"])
