@@ -248,10 +248,11 @@ def op7_result(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each as many times as the mix takes it; all columns stay."""
+    """The documents, each as many times as the mix takes it; all columns stay.
+    Texts are joined to the decisions by sorted runs, at every size."""
     names = docs.columns
     keyed, key = with_row_key(docs)
     n = fresh(names, "__n")
     taken = materialize(mix(keyed, id_col, text_col, source_col, keep=tuple(key)).filter("copies > 0").select(*key, F.col("copies").alias(n)), "taken")
-    out = keyed.join(taken, key)
+    out = keyed.join(taken.hint("merge"), key)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*names)

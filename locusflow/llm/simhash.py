@@ -293,6 +293,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for texts in parts:
             yield pd.Series([shingle_set(t).tobytes() for t in texts])
 
+    # texts are joined by sorted runs at every size: a hash table of keys may outgrow a task
     found = docs.select(F.col(id_col).alias("doc_id"), *key, signed(F.col(text_col)).alias("x"))
     rows = materialize(found.select("doc_id", *key, "x.same", "x.bands"), "signatures")
     classes = materialize(rows.groupBy("same").agg(F.min(F.struct(*key, "bands")).alias("x")).select("same", *[f"x.{k}" for k in key], "x.bands"), "distinct")
@@ -301,7 +302,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = bands.join(shared, "v").filter("a != same").select("a", F.col("same").alias("b")).distinct()
     labels = components(edges).select(F.col("node").alias("same"), "label")
     chosen = materialize(classes.select("same", *key).join(labels, "same"), "candidates")
-    sets = docs.select(*key, text_col).join(chosen, list(key)).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
+    sets = docs.select(*key, text_col).join(chosen.hint("merge"), list(key)).select("label", "same", hashed(F.col(text_col)).alias("hashes"))
     sets = materialize(sets, "sets")
     large = materialize(sets.groupBy("label").agg(F.sum(F.length("hashes").cast("long")).alias("bytes")).filter(F.col("bytes") > gather).select("label"), "large")
     roots = materialize(_gathered(sets.join(large, "label", "left_anti")), "roots")
@@ -317,4 +318,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed, key = with_row_key(docs)
     found = materialize(near_copies(keyed, id_col, text_col, tuple(key)), "found")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("x")).select(*[F.col(f"x.{k}").alias(k) for k in key])
-    return keyed.join(materialize(best, "kept"), key, "left_semi").select(*names)
+    return keyed.join(materialize(best, "kept").hint("merge"), key, "left_semi").select(*names)
