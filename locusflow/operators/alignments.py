@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.operators import coverage
+
 C = F.col
 MIN_MAPQ = 30
 PAIRED, UNMAPPED, REVERSE, FIRST, LAST, DUPLICATE = 0x1, 0x4, 0x10, 0x40, 0x80, 0x400
@@ -51,3 +53,32 @@ def library_complexity(reads: DataFrame, order: str = "line") -> DataFrame:
     x = x.withColumn("total", F.when(C("__paired"), C("__pairs")).otherwise(C("__reads") - C("mito")))
     rate = lambda below: C("one") / F.greatest(C(below), F.lit(1))
     return x.select("total", "distinct", "one", "two", "duplicates", "mito", rate("total").alias("nrf"), rate("distinct").alias("pbc1"), rate("two").alias("pbc2"))
+
+
+def tracks(reads: DataFrame, sizes: DataFrame, kinds: tuple[str, ...] = ("start", "end", "core"), smooth: int = 0) -> DataFrame:
+    """Runs (kind, chr, start, end, count) of the placed reads on the chromosomes of
+    sizes (chr, size): windows around starts or ends, or what lies between. Runs
+    are cut at the end of their chromosome, where BED tracks go on."""
+    out = None
+    placed = reads.filter(C("pos").isNotNull() & ~has(UNMAPPED)).select("chr", C("pos").alias("start"), "end")
+    for kind in kinds:
+        runs = coverage.runs(coverage.core_events(placed) if kind == "core" else coverage.point_events(placed, kind, smooth))
+        runs = runs.join(sizes, "chr").withColumn("end", F.least("end", C("size") + 1)).filter("start < end")
+        runs = runs.select(F.lit(kind).alias("kind"), "chr", "start", "end", "count")
+        out = runs if out is None else out.unionByName(runs)
+    return out
+
+
+def cut_sites(reads: DataFrame) -> DataFrame:
+    """(chr, start, end): a region of one base for the cut of each placed read."""
+    placed = reads.filter(C("pos").isNotNull() & ~has(UNMAPPED)).withColumn("start", C("pos"))
+    return placed.select("chr", atac_position().alias("start")).withColumn("end", C("start") + 1)
+
+
+def rates(complexity: DataFrame, reads: DataFrame) -> DataFrame:
+    """library_complexity() with the shares of duplicates and mitochondrial reads
+    in the mapped reads that pass MIN_MAPQ; 0 where there are none."""
+    kept = reads.filter((C("mapq").isNull() | (C("mapq") >= MIN_MAPQ)) & ~has(UNMAPPED) & C("chr").isNotNull() & (C("chr") != "*"))
+    share = lambda n: F.when(C("__n") == 0, 0.0).otherwise(C(n) / C("__n"))
+    x = complexity.crossJoin(kept.agg(F.count("*").alias("__n")))  # one row each
+    return x.withColumn("duplicate_rate", share("duplicates")).withColumn("mito_rate", share("mito")).drop("__n")

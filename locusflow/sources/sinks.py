@@ -26,14 +26,14 @@ def bedgraph(track: DataFrame, path: str) -> None:
     _text(track.orderBy("chr", "start").select(F.concat_ws("\t", "chr", C("start") - 1, C("end") - 1, "count")), path)
 
 
-def wig(track: DataFrame, path: str, size: int = SWEEP_BIN) -> None:
-    """Fixed-step blocks of step 1. Runs are cut at bins of positions, so no
-    task writes a chromosome; each bin begins a block of its own."""
+def wig(track: DataFrame, path: str, size: int = SWEEP_BIN, step: int = 1) -> None:
+    """Fixed-step blocks; starts and ends are in steps. Runs are cut at bins of
+    positions, so no task writes a chromosome; each bin begins a block of its own."""
     bins = F.sequence(bin_of(C("start"), size), bin_of(C("end") - 1, size))
     x = track.withColumn("__bin", F.explode(bins))
     x = x.withColumn("start", F.greatest("start", C("__bin") * size)).withColumn("end", F.least("end", (C("__bin") + 1) * size))
     before = F.lag("end").over(Window.partitionBy("chr", "__bin").orderBy("start"))
-    head = F.when(before.isNull() | (before < C("start")), F.concat(F.lit("fixedStep chrom="), "chr", F.lit(" start="), C("start").cast("string"), F.lit(" step=1\n"))).otherwise("")
+    head = F.when(before.isNull() | (before < C("start")), F.concat(F.lit("fixedStep chrom="), "chr", F.lit(" start="), (C("start") * step).cast("string"), F.lit(f" step={step}\n"))).otherwise("")
     values = F.array_join(F.array_repeat(C("count").cast("string"), (C("end") - C("start")).cast("int")), "\n")
     x = x.withColumn("value", F.concat(head, values))
     _text(x.orderBy("chr", "start").select("value"), path)
