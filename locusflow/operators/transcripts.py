@@ -7,7 +7,7 @@ coding part is null where there is none. Columns that are not named here stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions.digests import reverse_complement
@@ -88,3 +88,42 @@ def mature(transcripts: DataFrame, pieces: DataFrame, size: int = CHUNK) -> Data
     exons = exons.withColumn("id", F.struct("tx", "start", "end"))
     joined = extract(pieces, exons, size).groupBy("tx", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "bases"))), lambda e: e["bases"]), "").alias("b"))
     return joined.select("tx", F.when(C("strand") == "-", reverse_complement(F.upper("b"))).otherwise(F.upper("b")).alias("bases"))
+
+
+#: What a summary of MANE transcripts calls its two kinds; fixed values.
+SELECT, CLINICAL = "MANE Select", "MANE Plus Clinical"
+_RECORDS = "transcripts map<string, struct<id:string,gene_name:string,contig:string,strand:int,cds_start:long,cds_end:long,exons:array<array<long>>>>"
+
+
+def mane_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, clinical), a row an accession, with its version and without it, of both
+    name spaces of a MANE summary (tab-separated, a header that may begin with #).
+    Where rows differ, clinical wins. Raises where a column is missing."""
+    x = spark.read.option("sep", "\t").option("header", True).csv(path)
+    x = x.toDF(*[c.strip().lstrip("#").strip() for c in x.columns])
+    for c in ("RefSeq_nuc", "Ensembl_nuc", "MANE_status"):
+        if c not in x.columns:
+            raise ValueError(f"no column {c} in the MANE summary")
+    x = x.filter(F.trim("MANE_status").isin(SELECT, CLINICAL))
+    names = x.select(F.explode(F.array(F.trim("RefSeq_nuc"), F.trim("Ensembl_nuc"))).alias("a"), (F.trim("MANE_status") == CLINICAL).alias("clinical")).filter("a <> ''")
+    both = names.select(F.explode(F.array(C("a"), F.substring_index("a", ".", 1))).alias("accession"), "clinical")
+    return both.groupBy("accession").agg(F.bool_or("clinical").alias("clinical"))
+
+
+def ingest(spark: SparkSession, path: str, contigs: DataFrame, mane: DataFrame | None = None) -> DataFrame:
+    """Transcripts (tx, gene, chr, strand, exons, cds_start, cds_end, mane, clinical) of a
+    JSON file of records by accession. contigs: (contig, chr); mane: mane_summary(),
+    met by accession, or else without the version. Records of other contigs, of a
+    strand that isn't 1 or -1, and without exons are left out; a gene that is
+    missing is the empty text. A JSON object isn't split, so a task reads a file."""
+    t = spark.read.schema(_RECORDS).json(path, multiLine=True).select(F.explode("transcripts").alias("k", "t")).select("t.*")
+    strand = F.when(C("strand") == 1, "+").when(C("strand") == -1, "-")
+    t = t.filter(C("strand").isin(1, -1) & (F.size("exons") > 0)).join(contigs, "contig")
+    exons = F.transform("exons", lambda e: F.struct(F.get(e, F.lit(0)).alias("start"), F.get(e, F.lit(1)).alias("end")))
+    t = t.select(C("id").alias("tx"), F.coalesce("gene_name", F.lit("")).alias("gene"), "chr", strand.alias("strand"), exons.alias("exons"), "cds_start", "cds_end", F.substring_index("id", ".", 1).alias("__base"))
+    if mane is None:
+        return t.drop("__base").withColumn("mane", F.lit(False)).withColumn("clinical", F.lit(False))
+    at = lambda key, name: mane.select(C("accession").alias(key), C("clinical").alias(name))
+    t = t.join(at("tx", "__exact"), "tx", "left").join(at("__base", "__loose"), "__base", "left")
+    found = F.coalesce("__exact", "__loose")
+    return t.withColumn("mane", found.isNotNull()).withColumn("clinical", F.coalesce(found, F.lit(False))).drop("__base", "__exact", "__loose")
