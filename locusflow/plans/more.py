@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusflow.functions import digests
-from locusflow.operators import classification, coverage, databases, enrichment, nomenclature, ranges, scoring, statistics, transcripts, vocabulary
+from locusflow.operators import alignments, classification, coverage, databases, enrichment, nomenclature, ranges, scoring, statistics, transcripts, vocabulary
 from locusflow.plans.catalog import _LOLA, _SEG, _SEQ, _contingency, _islands, _sequences, _track, query, transform_sql
 
 C = F.col
@@ -282,3 +282,32 @@ def fragment_clusters(t):
     f = t.fragments.withColumn("file", F.lit("f"))
     k = f.select("file", "barcode").distinct().filter("barcode % 3 <> 0").withColumn("cluster", F.concat(F.lit("c"), C("barcode") % 4))
     return scoring.barcode_clusters(f, k).select("id", "barcode", "cluster")
+
+
+# aligned reads and variant descriptions
+
+
+@query(f"""WITH track AS ({_track('SELECT chr, start + 1 AS pos, 1 AS d FROM iv_a UNION ALL SELECT chr, "end", -1 FROM iv_a')}), s AS (SELECT chr, size - 150 AS size FROM sizes)
+SELECT 'core' AS kind, chr, start, least("end", size + 1) AS "end", count FROM track JOIN s USING (chr) WHERE start < least("end", size + 1)""")
+def aligned_coverage(t):
+    reads = t.a.select("chr", C("start").alias("pos"), "end", F.lit(0).alias("flag"))
+    return alignments.tracks(reads, t.sizes.withColumn("size", C("size") - 150), ("core",))
+
+
+@query("""SELECT chr, s AS start, s + 1 AS "end" FROM (SELECT chr, CASE WHEN strand = '-' THEN "end" - 5 ELSE start + 4 END AS s FROM iv_b)""")
+def cut_positions(t):
+    return alignments.cut_sites(t.b.select("chr", C("start").alias("pos"), "end", F.when(C("strand") == "-", 16).otherwise(0).alias("flag")))
+
+
+@query("""SELECT id, 'NC_' || id AS accession, CASE k WHEN 3 THEN 'c' ELSE 'g' END AS kind, CASE k WHEN 0 THEN 'sub' WHEN 1 THEN 'del' WHEN 2 THEN 'ins' WHEN 3 THEN 'dup' ELSE 'unknown' END AS edit,
+  CASE k WHEN 4 THEN NULL ELSE n END AS first, CASE k WHEN 4 THEN NULL WHEN 0 THEN n ELSE n + 1 END AS second, k = 1 AS ranged FROM (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_custkey + 1 AS n FROM orders)""")
+def parsed_descriptions(t):
+    k, n = C("o_orderkey") % 5, (C("o_custkey") + 1).cast("string")
+    m = (C("o_custkey") + 2).cast("string")
+    edit = (
+        F.when(k == 0, F.concat(F.lit("g."), n, F.lit("A>T"))).when(k == 1, F.concat(F.lit("g.(?_"), n, F.lit(")_("), m, F.lit("_?)del"))).when(k == 2, F.concat(F.lit("g."), n, F.lit("_"), m, F.lit("insGG")))
+        .when(k == 3, F.concat(F.lit("c.*"), n, F.lit("-7_*"), m, F.lit("dup"))).otherwise("g.?")
+    )
+    x = t.read("orders").select(C("o_orderkey").alias("id"), F.concat(F.lit("NC_"), "o_orderkey", F.lit(":"), edit).alias("s"))
+    x = x.withColumn("h", nomenclature.parse("s"))
+    return x.select("id", "h.accession", "h.kind", "h.edit", C("h.first.number").alias("first"), C("h.second.number").alias("second"), "h.ranged")
