@@ -15,10 +15,12 @@ shingle of all words; ties and repeated rows share a component; rows with a null
 id keep a row and take no part in the least id; an empty table stays empty.
 
 The pipeline's stage (keep_one) is about similarity instead: five-word shingles
-and a Jaccard index of 0.8 or more. Such texts differ in up to a dozen bits, and
-balls of that radius have millions of variants. So candidates come from MinHash
-bands, and in each of their components the true similarities decide: two sets of
-0.8 share no band once in 10^11 times. A component of up to GATHER_BYTES is
+and a Jaccard index of 0.8 or more. Its candidates come from the same balls, over
+fingerprints of the distinct five-word shingles (near_duplicates). Texts of 0.8
+differ in up to a dozen bits, and balls of that radius have millions of variants.
+So components that the balls leave apart are joined where their texts share a
+MinHash band (two sets of 0.8 share none once in 10^11 times), and in each joined
+component the true similarities decide. A component of up to GATHER_BYTES is
 settled in one task. Larger ones are searched in rounds over many tasks: sets
 reached so far, CENTRES at a time, against those not reached, or all of them
 against what is left once that is small; no task holds more than a chunk of either.
@@ -47,6 +49,15 @@ _FACTORS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint3
 _TERMS = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64 bits: bit i is set if over half the shingle hashes have it."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -62,8 +73,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     for at in range(0, n, BLOCK):
         a, b = starts[at : min(n, at + BLOCK)].tolist(), last[at : at + BLOCK].tolist()
         h = np.fromiter((digest(joined[x:y], seed) for x, y in zip(a, b)), np.uint64, len(a))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        counts += bit_counts(h)
+    return majority(counts, n)
 
 
 def fingerprint_udf(shingle: int, seed: int):
@@ -104,10 +115,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (signed 64 bits), component_id: the least doc_id reachable; and the columns in keep."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = (), fp_col: str | None = None) -> DataFrame:
+    """doc_id, fp (signed 64 bits; read from fp_col where docs has them), component_id:
+    the least doc_id reachable; and the columns in keep."""
     prepare(docs.sparkSession)
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(shingle, seed)(F.col(text_col)).alias("fp"), *keep), "fingerprints")
+    fp = F.col(fp_col) if fp_col else fingerprint_udf(shingle, seed)(F.col(text_col))
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), *keep), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(ball_edges(fps.select("fp"))).select(F.col("node").alias("fp"), F.col("label").alias("root"))
     linked = materialize(fps.join(labels, "fp", "inner"), "linked")
@@ -134,6 +147,14 @@ def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[x:y]) for x, y in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, len(starts)))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += bit_counts(hashes[at : at + BLOCK])
+    return majority(counts, len(hashes))
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A signed 64-bit key a band: equal where all minima of the band are."""
     low = np.full(BANDS * MINIMA, (1 << 32) - 1, np.uint32)
@@ -278,15 +299,24 @@ def _searched(sets: DataFrame, gather: int = GATHER_BYTES, centres: int = CENTRE
     return out
 
 
+def band_edges(texts: DataFrame) -> DataFrame:
+    """(a, b) of the ball components (column unit) of texts that share a band; connected as all that share it are."""
+    bands = texts.select("unit", F.explode("bands").alias("v"))
+    shared = bands.groupBy("v").agg(F.min("unit").alias("a"), F.max("unit").alias("z")).filter("a != z").drop("z")
+    return bands.join(shared, "v").filter("a != unit").select("a", F.col("unit").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: tuple[str, ...] = ("__file", "__row"), gather: int = GATHER_BYTES) -> DataFrame:
     """doc_id, key (columns of docs that tell its rows apart) and component, equal for texts linked by similarity."""
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("struct<same:bigint,bands:array<bigint>>")
+    @F.pandas_udf("struct<same:bigint,fp:bigint,bands:array<bigint>>")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             sets = [shingle_set(t) for t in texts]
-            yield pd.DataFrame({"same": np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64), "bands": [band_keys(x) for x in sets]})
+            same = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            fps = np.array([set_fingerprint(x) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"same": same, "fp": fps, "bands": [band_keys(x) for x in sets]})
 
     @F.pandas_udf("binary")
     def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -295,11 +325,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # texts are joined by sorted runs at every size: a hash table of keys may outgrow a task
     found = docs.select(F.col(id_col).alias("doc_id"), *key, signed(F.col(text_col)).alias("x"))
-    rows = materialize(found.select("doc_id", *key, "x.same", "x.bands"), "signatures")
-    classes = materialize(rows.groupBy("same").agg(F.min(F.struct(*key, "bands")).alias("x")).select("same", *[f"x.{k}" for k in key], "x.bands"), "distinct")
-    bands = classes.select("same", F.explode("bands").alias("v"))
-    shared = bands.groupBy("v").agg(F.min("same").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    edges = bands.join(shared, "v").filter("a != same").select("a", F.col("same").alias("b")).distinct()
+    rows = materialize(found.select("doc_id", *key, "x.same", "x.fp", "x.bands"), "signatures")
+    classes = materialize(rows.groupBy("same").agg(F.min(F.struct(*key, "fp", "bands")).alias("x")).select("same", *[f"x.{k}" for k in key], "x.fp", "x.bands"), "distinct")
+    # a unit is a component of the balls, named by its least text; bands join units
+    units = materialize(near_duplicates(classes, "same", fp_col="fp").select(F.col("doc_id").alias("same"), F.col("component_id").alias("unit")), "units")
+    texts = materialize(classes.select("same", "bands").join(units.hint("merge"), "same").select("unit", "bands"), "unit-bands")
+    balls = units.filter("unit != same").select(F.col("unit").alias("a"), F.col("same").alias("b"))
+    edges = balls.unionByName(band_edges(texts))
     labels = components(edges).select(F.col("node").alias("same"), "label")
     chosen = materialize(classes.select("same", *key).join(labels, "same"), "candidates")
     sets = docs.select(*key, text_col).join(chosen.hint("merge"), list(key)).select("label", "same", hashed(F.col(text_col)).alias("hashes"))

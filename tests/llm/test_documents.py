@@ -295,6 +295,47 @@ def test_keep_one_links_similar_texts_and_no_others(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(label)) and len(set(label)) > 25
 
 
+def test_keep_one_takes_its_candidates_from_balls(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows, near, far = [(0, ""), (1, None), (2, "One"), (3, "one"), (4, "a b a b a b a b a b")], [], []
+    for g in range(12):  # one word changed in a long text, several in a short one
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 1500 if g % 2 else 150)]
+        copy = list(words)
+        for at in (40,) if g % 2 else (40, 90, 91):
+            copy[at] = "changed"
+        rows += [(10 + 2 * g, " ".join(words)), (11 + 2 * g, "  ".join(copy).upper())]
+    def plain(t):
+        w = (t or "").lower().split()
+        grams = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        h = [xxhash.xxh64_intdigest(x.encode()) for x in grams]
+        return grams, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    made = {i: plain(t) for i, t in rows}
+    for i in range(10, 34, 2):
+        (a, x), (b, y) = made[i], made[i + 1]
+        assert 5 * len(a & b) >= 4 * len(a | b)
+        (near if (x ^ y).bit_count() <= 2 else far).append(i + 1)
+    assert len(near) > 2 and len(far) > 2
+    docs, seen, balls = spark.createDataFrame(rows, "doc_id long, text string"), [], simhash.ball_edges
+
+    def watched(fps):
+        seen.extend(r.fp % (1 << 64) for r in fps.select("fp").collect())
+        return balls(fps)
+
+    kept = lambda: sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    want = sorted({i for i, _ in rows} - {1, 3} - set(near) - set(far))
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "ball_edges", watched)
+        assert kept() == want
+        assert sorted(seen) == sorted({x for _, x in made.values()})
+    with monkeypatch.context() as m:  # the balls' own part
+        m.setattr(simhash, "band_edges", lambda texts: spark.createDataFrame([], "a long, b long"))
+        assert kept() == sorted(want + far)
+    with monkeypatch.context() as m:  # wrong candidates, empty texts among them, link nothing
+        m.setattr(simhash, "ball_edges", lambda fps: fps.crossJoin(fps.agg(F.min("fp").alias("a"))).filter("a != fp").select("a", F.col("fp").alias("b")))
+        assert kept() == want
+
+
 def test_large_components_are_searched_in_rounds(spark):
     rng = np.random.default_rng(9)
     rows = []
