@@ -29,8 +29,7 @@ def point_events(df: DataFrame, side: str, smooth: int, score=None) -> DataFrame
 
 def runs(events: DataFrame) -> DataFrame:
     """(chr, start, end, count): positions start to end - 1 have this count, not 0; neighbours differ."""
-    changes = events.groupBy("chr", "pos").agg(F.sum("d").alias("d")).filter("d <> 0")
-    return segments(changes, ["chr"], ["d"]).filter("d <> 0").select("chr", "start", "end", C("d").alias("count"))
+    return segments(events, ["chr"], ["d"], turns=True).filter("d <> 0").select("chr", "start", "end", C("d").alias("count"))
 
 
 def fixed_step(track: DataFrame, step: int = 1) -> DataFrame:

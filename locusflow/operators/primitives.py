@@ -14,24 +14,47 @@ from pyspark.sql import functions as F
 TILE, SWEEP_BIN = 1 << 10, 1 << 16
 #: Tiles that a row of an interval join may touch before it counts as wide.
 WIDE = 1 << 8
+#: Bytes of input for each partition that rows are dealt to.
+DEAL_BYTES = 4 << 20
 
 
 def bin_of(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
 
+def deal(df: DataFrame, *by: str) -> DataFrame:
+    """df partitioned by columns, in as many partitions as its input files have
+    DEAL_BYTES, so that a task's rows don't grow with the input. For one file's
+    worth or rows of unknown size the number is left to the session."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    # a branch of a plan may be there many times
+    sizes = {x.canonicalized().hashCode(): int(str(x.stats().sizeInBytes())) for x in (leaves.apply(i) for i in range(leaves.size()))}
+    n = -(-sum(b for b in sizes.values() if b < 1 << 60) // DEAL_BYTES)
+    return df.repartition(n, *by) if n > 1 else df.repartition(*by)
+
+
+def in_bins(df: DataFrame, keys: list[str], pos: str, size: int = SWEEP_BIN) -> DataFrame:
+    """df with __bin, dealt to bins; rows without a key or position are left out, as joins on them would."""
+    there = " and ".join(f"`{k}` is not null" for k in [*keys, "__bin"])
+    return deal(df.withColumn("__bin", bin_of(F.col(pos), size)).filter(there), *keys, "__bin")
+
+
 def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[str, Column], carry: dict[str, tuple[str, str]], dealt: bool = False) -> DataFrame:
     """df with __bin and, for each (name: (summary, how)) of carry, what the bins
     before (sum, max; last: the bin before) or after (next: least value of the bins
-    after) summarise. dealt: df has __bin and is partitioned by it already."""
-    binned = df if dealt else df.withColumn("__bin", bin_of(F.col(pos), size)).repartition(*keys, "__bin")
-    bins = binned.groupBy(*keys, "__bin").agg(*[c.alias(f"__s_{n}") for n, c in summary.items()])
+    after) summarise. dealt: df has __bin and is partitioned by it already.
+    Spark makes a deal once for both branches only if they have equal filters and
+    columns, so the summary reads all columns; the caller drops what it doesn't use."""
+    binned = df if dealt else in_bins(df, keys, pos, size)
+    every = [F.col(c) for c, kind in binned.dtypes if "map<" not in kind]
+    bins = binned.groupBy(*keys, "__bin").agg(*[c.alias(f"__s_{n}") for n, c in summary.items()], F.max(F.xxhash64(*every)).alias("__every")).filter("__every is not null")
     # frames only look back: one that looks ahead is summed anew for each row
     up, down = Window.partitionBy(*keys).orderBy("__bin"), Window.partitionBy(*keys).orderBy(F.col("__bin").desc())
     before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
     made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(up), "next": lambda c: F.min(c).over(after)}
     bins = bins.select(*keys, "__bin", *[made[how](f"__s_{s}").alias(n) for n, (s, how) in carry.items()])
-    return binned.join(bins, [*keys, "__bin"])
+    # dealt as the rows are, so that those stay where they are
+    return binned.join(deal(bins, *keys, "__bin"), [*keys, "__bin"])
 
 
 def with_islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP_BIN) -> DataFrame:
@@ -91,11 +114,18 @@ def iv_join(left: DataFrame, right: DataFrame, keys: list[str] = ("chr",), tile:
     return tiled(left, "q_").join(tiled(right, "s_"), [*keys, "__tile"]).filter(hit).drop("__tile")
 
 
-def segments(events: DataFrame, keys: list[str], depths: list[str], size: int = SWEEP_BIN) -> DataFrame:
+def _changes(events: DataFrame, keys: list[str], depths: list[str], size: int, turns: bool) -> DataFrame:
+    """(keys, __bin, pos, depth changes), a row a position, dealt to bins once and summed there."""
+    e = in_bins(events.select(*keys, "pos", *depths), keys, "pos", size).groupBy(*keys, "__bin", "pos").agg(*[F.sum(d).alias(d) for d in depths])
+    return e.filter(" or ".join(f"{d} <> 0" for d in depths)) if turns else e
+
+
+def segments(events: DataFrame, keys: list[str], depths: list[str], size: int = SWEEP_BIN, turns: bool = False) -> DataFrame:
     """events: (keys, pos, depth changes). The pieces between neighbouring
-    positions, as (keys, start, end, depth columns as running sums)."""
-    e = events.groupBy(*keys, "pos").agg(*[F.sum(d).alias(d) for d in depths])
-    x = carried(e, keys, "pos", size, {"pos": F.min("pos")} | {d: F.sum(d) for d in depths}, {"__next": ("pos", "next")} | {f"__c_{d}": (d, "sum") for d in depths})
+    positions, as (keys, start, end, depth columns as running sums). turns: only
+    positions where a depth changes divide them."""
+    e = _changes(events, keys, depths, size, turns)
+    x = carried(e, keys, "pos", size, {"pos": F.min("pos")} | {d: F.sum(d) for d in depths}, {"__next": ("pos", "next")} | {f"__c_{d}": (d, "sum") for d in depths}, dealt=True)
     w = Window.partitionBy(*keys, "__bin").orderBy("pos")
     depth = [(F.sum(d).over(w) + F.coalesce(f"__c_{d}", F.lit(0))).alias(d) for d in depths]
     x = x.select(*keys, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(w), F.col("__next")).alias("end"), *depth)
@@ -105,8 +135,7 @@ def segments(events: DataFrame, keys: list[str], depths: list[str], size: int =
 def runs_where(events: DataFrame, keys: list[str], depths: list[str], condition, size: int = SWEEP_BIN) -> DataFrame:
     """(keys, start, end): the longest pieces in which condition(columns of the
     running depths) holds. Events need not be of disjoint rows."""
-    e = events.groupBy(*keys, "pos").agg(*[F.sum(d).alias(d) for d in depths]).filter(" or ".join(f"{d} <> 0" for d in depths))
-    x = carried(e, keys, "pos", size, {d: F.sum(d) for d in depths} | {"pos": F.min("pos")}, {f"__c_{d}": (d, "sum") for d in depths})
+    x = carried(_changes(events, keys, depths, size, True), keys, "pos", size, {d: F.sum(d) for d in depths}, {f"__c_{d}": (d, "sum") for d in depths}, dealt=True)
     w = Window.partitionBy(*keys, "__bin").orderBy("pos")
     x = x.select(*keys, "__bin", "pos", *depths, *[(F.sum(d).over(w) + F.coalesce(f"__c_{d}", F.lit(0))).alias(f"__n_{d}") for d in depths])
     now, was = condition({d: F.col(f"__n_{d}") for d in depths}), condition({d: F.col(f"__n_{d}") - F.col(d) for d in depths})
@@ -124,9 +153,8 @@ def ranked(df: DataFrame, keys: list[str], pos: str, order: list, name: str, siz
 
 def edges(df: DataFrame, keys: list[str], depths: dict[str, int]) -> DataFrame:
     """Start and end events of df for segments(); depths: the change at a start."""
-    up = df.select(*keys, F.col("start").alias("pos"), *[F.lit(n).cast("long").alias(d) for d, n in depths.items()])
-    down = df.select(*keys, F.col("end").alias("pos"), *[F.lit(-n).cast("long").alias(d) for d, n in depths.items()])
-    return up.unionByName(down)
+    at = [F.struct(F.col(end).alias("pos"), *[F.lit(sign * n).cast("long").alias(d) for d, n in depths.items()]) for end, sign in (("start", 1), ("end", -1))]
+    return df.select(*keys, F.explode(F.array(*at)).alias("__e")).select(*keys, "__e.*")
 
 
 def asof(queries: DataFrame, points: DataFrame, keys: list[str], at: str, size: int = SWEEP_BIN) -> DataFrame:

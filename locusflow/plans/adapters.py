@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusflow.operators.primitives import deal
+
 _SQL = {
     "iv_a": """SELECT *, chr || ':' || start || '-' || "end" AS id FROM (SELECT DISTINCT 'chr' || (l_suppkey % 10 + 1) AS chr, l_orderkey * 20 + l_linenumber * 3 AS start, l_orderkey * 20 + l_linenumber * 3 + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem)""",
     "iv_b": """SELECT 'chr' || (o_custkey % 10 + 1) AS chr, o_orderkey * 20 AS start, o_orderkey * 20 + 10 + o_custkey % 40 AS "end", o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM orders""",
@@ -48,7 +50,7 @@ class Tables:
 
     @property
     def a(self) -> DataFrame:
-        return self.read("lineitem").select(*self._line()).distinct().withColumn("id", F.concat("chr", F.lit(":"), "start", F.lit("-"), "end"))
+        return deal(self.read("lineitem").select(*self._line()), "chr", "start", "end").distinct().withColumn("id", F.concat("chr", F.lit(":"), "start", F.lit("-"), "end"))
 
     @property
     def b(self) -> DataFrame:
@@ -62,7 +64,7 @@ class Tables:
 
     @property
     def sets(self) -> DataFrame:
-        return self.read("lineitem").select(F.col("l_linenumber").cast("long").alias("set_id"), *self._line()).distinct()
+        return deal(self.read("lineitem").select(F.col("l_linenumber").cast("long").alias("set_id"), *self._line()), "set_id", "chr", "start", "end").distinct()
 
     @property
     def fragments(self) -> DataFrame:
