@@ -52,9 +52,10 @@ def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[s
     up, down = Window.partitionBy(*keys).orderBy("__bin"), Window.partitionBy(*keys).orderBy(F.col("__bin").desc())
     before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
     made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(up), "next": lambda c: F.min(c).over(after)}
-    bins = bins.select(*keys, "__bin", *[made[how](f"__s_{s}").alias(n) for n, (s, how) in carry.items()])
-    # dealt as the rows are, so that those stay where they are
-    return binned.join(deal(bins, *keys, "__bin"), [*keys, "__bin"])
+    bins = deal(bins.select(*keys, "__bin", *[made[how](f"__s_{s}").alias(f"__m_{n}") for n, (s, how) in carry.items()]), *keys, "__bin")
+    # dealt as the rows are, so that those stay where they are; named after that,
+    # as Spark deals both sides of a join anew if both are plain deals
+    return binned.join(bins.select(*keys, "__bin", *[F.col(f"__m_{n}").alias(n) for n in carry]), [*keys, "__bin"])
 
 
 def with_islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP_BIN) -> DataFrame:
@@ -132,16 +133,21 @@ def segments(events: DataFrame, keys: list[str], depths: list[str], size: int =
     return x.filter("end is not null")
 
 
+def turns(events: DataFrame, keys: list[str], depths: list[str], state, size: int = SWEEP_BIN) -> DataFrame:
+    """(keys, __bin, pos, __was, __now), dealt to bins: the positions where state(columns of the running depths) changes."""
+    x = carried(_changes(events, keys, depths, size, True), keys, "pos", size, {d: F.sum(d) for d in depths}, {f"__c_{d}": (d, "sum") for d in depths}, dealt=True)
+    w = Window.partitionBy(*keys, "__bin").orderBy("pos")
+    x = x.select(*keys, "__bin", "pos", *depths, *[(F.sum(d).over(w) + F.coalesce(f"__c_{d}", F.lit(0))).alias(f"__n_{d}") for d in depths])
+    now, was = state({d: F.col(f"__n_{d}") for d in depths}), state({d: F.col(f"__n_{d}") - F.col(d) for d in depths})
+    return x.select(*keys, "__bin", "pos", was.alias("__was"), now.alias("__now")).filter("__was <> __now")
+
+
 def runs_where(events: DataFrame, keys: list[str], depths: list[str], condition, size: int = SWEEP_BIN) -> DataFrame:
     """(keys, start, end): the longest pieces in which condition(columns of the
     running depths) holds. Events need not be of disjoint rows."""
-    x = carried(_changes(events, keys, depths, size, True), keys, "pos", size, {d: F.sum(d) for d in depths}, {f"__c_{d}": (d, "sum") for d in depths}, dealt=True)
+    x = carried(turns(events, keys, depths, condition, size).drop("__was"), keys, "pos", size, {"pos": F.min("pos")}, {"__next": ("pos", "next")}, dealt=True)
     w = Window.partitionBy(*keys, "__bin").orderBy("pos")
-    x = x.select(*keys, "__bin", "pos", *depths, *[(F.sum(d).over(w) + F.coalesce(f"__c_{d}", F.lit(0))).alias(f"__n_{d}") for d in depths])
-    now, was = condition({d: F.col(f"__n_{d}") for d in depths}), condition({d: F.col(f"__n_{d}") - F.col(d) for d in depths})
-    turns = x.filter(now != was).select(*keys, "__bin", "pos", now.alias("__on"))
-    turns = carried(turns, keys, "pos", size, {"pos": F.min("pos")}, {"__next": ("pos", "next")}, dealt=True)
-    return turns.withColumn("end", F.coalesce(F.lead("pos").over(w), F.col("__next"))).filter("__on").select(*keys, F.col("pos").alias("start"), "end")
+    return x.withColumn("end", F.coalesce(F.lead("pos").over(w), F.col("__next"))).filter("__now").select(*keys, F.col("pos").alias("start"), "end")
 
 
 def ranked(df: DataFrame, keys: list[str], pos: str, order: list, name: str, size: int = SWEEP_BIN) -> DataFrame:

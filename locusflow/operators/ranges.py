@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.operators.primitives import edges, islands, ranked, runs_where, segments, with_islands
+from locusflow.operators.primitives import SWEEP_BIN, carried, edges, islands, ranked, runs_where, segments, turns, with_islands
 from locusflow.plans.scratch import materialize
 
 C = F.col
@@ -144,19 +144,34 @@ def intersect_all(sets: DataFrame, n: int) -> DataFrame:
     return runs_where(e, ["chr"], ["n"], lambda d: d["n"] == n)
 
 
-def union_except(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """For each set_id (a number) of ids, the union of all other sets. One sweep
-    finds where a single set covers, and which; every run goes to all ids but its
-    only owner's. The ids, one row of them, are the only side that is copied.
-    Both steps before the last are written: it would run them for each of its branches."""
-    reduced = materialize(islands(sets, ["chr", "set_id"]), "sets")
-    e = edges(reduced, ["chr", "set_id"], {"n": 1}).withColumn("owner", C("n") * C("set_id")).select("chr", "pos", "n", "owner")
-    x = segments(e, ["chr"], ["n", "owner"]).filter("n > 0").withColumn("single", C("n") == 1).withColumn("owner", F.when(C("single"), C("owner")).otherwise(0))
-    runs = islands(x, ["chr", "single", "owner"])
-    every = ids.agg(F.collect_set("set_id").alias("ids"))  # one row
-    mine = F.filter("ids", lambda i: ~C("single") | (i != C("owner")))
-    rows = materialize(runs, "runs").join(F.broadcast(every)).select("chr", "start", "end", F.explode(mine).alias("set_id"))
-    return islands(rows, ["set_id", "chr"])
+def union_except(sets: DataFrame, ids: DataFrame, size: int = SWEEP_BIN) -> DataFrame:
+    """For each set_id (a number) of ids, the union of all other sets: each island
+    of all sets without the pieces that only this set covers. One sweep finds
+    islands and such pieces, which are written. An island is given to the ids that
+    own no piece of it as it is, and to an owner as what lies between its pieces;
+    so no row is copied but those of the result. The ids, one row of them, are the
+    only side that is copied."""
+    e = edges(islands(sets, ["chr", "set_id"], 0, size), ["chr", "set_id"], {"n": 1}).select("chr", "pos", "n", (C("n") * C("set_id")).alias("owner"))
+    state = lambda d: F.struct(F.least(d["n"], F.lit(2)).alias("sets"), F.when(d["n"] == 1, d["owner"]).otherwise(0).alias("owner"))
+    begins, ends = F.when(C("__was.sets") == 0, C("pos")), F.when(C("__now.sets") == 0, C("pos"))
+    x = carried(turns(e, ["chr"], ["n", "owner"], state, size), ["chr"], "pos", size, {"first": F.max(begins), "last": F.min(ends), "pos": F.min("pos")}, {"__f": ("first", "max"), "__l": ("last", "next"), "__n": ("pos", "next")}, dealt=True)
+    w, back = Window.partitionBy("chr", "__bin").orderBy("pos"), Window.partitionBy("chr", "__bin").orderBy(C("pos").desc())
+    x = x.withColumn("first", F.greatest(F.max(begins).over(w), C("__f"))).withColumn("end", F.coalesce(F.lead("pos").over(w), C("__n"))).withColumn("last", F.least(F.min(ends).over(back), C("__l")))
+    own = F.when(C("__now.sets") == 1, C("__now.owner")).cast(sets.schema["set_id"].dataType)
+    x = materialize(x.filter("__was.sets = 0 or __now.sets = 1").select("chr", "first", "last", own.alias("set_id"), C("pos").alias("start"), "end"), "turns")
+
+    every = F.broadcast(ids.agg(F.collect_set("set_id").alias("__ids")))  # one row
+    whole = x.groupBy("chr", "first", "last").agg(F.collect_set("set_id").alias("own")).join(every)
+    whole = whole.select("chr", C("first").alias("start"), C("last").alias("end"), F.explode(F.array_except("__ids", "own")).alias("set_id"))
+
+    y = x.filter("set_id is not null").join(every).filter(F.array_contains("__ids", C("set_id"))).drop("__ids")
+    y = carried(y, ["chr", "set_id"], "start", size, {"end": F.max("end"), "start": F.min("start")}, {"__l": ("end", "max"), "__r": ("start", "next")})
+    w = Window.partitionBy("chr", "set_id", "__bin").orderBy("start")
+    y = y.withColumn("__l", F.coalesce(F.lag("end").over(w), C("__l"))).withColumn("__r", F.coalesce(F.lead("start").over(w), C("__r")))
+    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    left = F.when(C("__l").isNull() | (C("__l") < C("first")), piece(C("first"), C("start")))
+    y = y.select("chr", "set_id", F.explode(F.array(left, piece(C("end"), F.least("__r", "last")))).alias("p")).filter("p.start < p.end")
+    return whole.unionByName(y.select("chr", "p.start", "p.end", "set_id")).select("set_id", "chr", "start", "end")
 
 
 def tiles(sizes: DataFrame, width: int) -> DataFrame:

@@ -66,6 +66,10 @@ class Tables:
     def sets(self) -> DataFrame:
         return deal(self.read("lineitem").select(F.col("l_linenumber").cast("long").alias("set_id"), *self._line()), "set_id", "chr", "start", "end").distinct()
 
+    @property
+    def set_ids(self) -> DataFrame:
+        return self.read("lineitem").select(F.col("l_linenumber").cast("long").alias("set_id")).distinct()
+
     @property
     def fragments(self) -> DataFrame:
         start = F.col("event_id") * 10

@@ -43,3 +43,16 @@ def test_a_sweep_reads_and_deals_its_rows_once(filed):
 def test_positions_are_summed_once(filed):
     rows = final_plan(coverage.runs(coverage.core_events(filed[1]))).split("BroadcastQueryStage")[0]
     assert rows.count("functions=[sum(d#") == 1 and rows.count("Exchange hash") == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_union_except_copies_no_rows_but_its_results(spark, seed):
+    rows, df = regions(spark, seed, 90, 300)
+    sets = df.withColumn("set_id", df.id % 5)
+    ids = spark.createDataFrame([(0,), (1,), (3,), (3,), (9,)], "set_id long")
+    want = sorted((k, *x) for k in (0, 1, 3, 9) for x in merged([r for r in rows if r[3] % 5 != k and r[1] < r[2]]))
+    for size in (7, 1 << 16):
+        out = ranges.union_except(sets, ids, size)
+        assert sorted(tuple(r) for r in out.collect()) == want
+    plan = final_plan(out)
+    assert plan.index("Generate explode") < plan.index("Exchange")
