@@ -22,17 +22,27 @@ def bin_of(pos: Column, size: int) -> Column:
     return F.floor(pos / size).cast("long")
 
 
-def deal(df: DataFrame, *by: str) -> DataFrame:
-    """df partitioned by columns, in as many partitions as its input files have
-    DEAL_BYTES, so that a task's rows don't grow with the input. For one file's
-    worth or rows of unknown size the number is left to the session."""
+def parts(df: DataFrame) -> int:
+    """As many partitions as the input files of df have DEAL_BYTES, so that a task's rows don't grow with the input."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     # a branch of a plan may be there many times
     sizes = {x.canonicalized().hashCode(): int(str(x.stats().sizeInBytes())) for x in (leaves.apply(i) for i in range(leaves.size()))}
-    n = -(-sum(b for b in sizes.values() if b < 1 << 60) // DEAL_BYTES)
+    return -(-sum(b for b in sizes.values() if b < 1 << 60) // DEAL_BYTES)
+
+
+def deal(df: DataFrame, *by: str) -> DataFrame:
+    """df partitioned by columns, in parts() partitions. For one or rows of
+    unknown size the number is left to the session."""
+    n = parts(df)
     return df.repartition(n, *by) if n > 1 else df.repartition(*by)
 
 
+def by_range(df: DataFrame, *by: str) -> DataFrame:
+    """df in partitions that are ranges of columns, each sorted by them."""
+    n = parts(df)
+    return (df.repartitionByRange(n, *by) if n > 1 else df.repartitionByRange(*by)).sortWithinPartitions(*by)
+
+
 def in_bins(df: DataFrame, keys: list[str], pos: str, size: int = SWEEP_BIN) -> DataFrame:
     """df with __bin, dealt to bins; rows without a key or position are left out, as joins on them would."""
     there = " and ".join(f"`{k}` is not null" for k in [*keys, "__bin"])
@@ -42,7 +52,7 @@ def in_bins(df: DataFrame, keys: list[str], pos: str, size: int = SWEEP_BIN) ->
 def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[str, Column], carry: dict[str, tuple[str, str]], dealt: bool = False) -> DataFrame:
     """df with __bin and, for each (name: (summary, how)) of carry, what the bins
     before (sum, max; last: the bin before) or after (next: least value of the bins
-    after) summarise. dealt: df has __bin and is partitioned by it already.
+    after; rest: their sum) summarise. dealt: df has __bin and is partitioned by it already.
     Spark makes a deal once for both branches only if they have equal filters and
     columns, so the summary reads all columns; the caller drops what it doesn't use."""
     binned = df if dealt else in_bins(df, keys, pos, size)
@@ -51,21 +61,26 @@ def carried(df: DataFrame, keys: list[str], pos: str, size: int, summary: dict[s
     # frames only look back: one that looks ahead is summed anew for each row
     up, down = Window.partitionBy(*keys).orderBy("__bin"), Window.partitionBy(*keys).orderBy(F.col("__bin").desc())
     before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
-    made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(up), "next": lambda c: F.min(c).over(after)}
+    made = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(up), "next": lambda c: F.min(c).over(after), "rest": lambda c: F.sum(c).over(after)}
     bins = deal(bins.select(*keys, "__bin", *[made[how](f"__s_{s}").alias(f"__m_{n}") for n, (s, how) in carry.items()]), *keys, "__bin")
     # dealt as the rows are, so that those stay where they are; named after that,
     # as Spark deals both sides of a join anew if both are plain deals
     return binned.join(bins.select(*keys, "__bin", *[F.col(f"__m_{n}").alias(n) for n in carry]), [*keys, "__bin"])
 
 
+def reached(df: DataFrame, keys: list[str], size: int = SWEEP_BIN) -> DataFrame:
+    """df with __bin and __reach: the largest end of the rows before, by start and end."""
+    x = carried(df, keys, "start", size, {"end": F.max("end")}, {"__reach": ("end", "max")})
+    before = Window.partitionBy(*keys, "__bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    return x.withColumn("__reach", F.greatest(F.max("end").over(before), F.col("__reach")))
+
+
 def with_islands(df: DataFrame, keys: list[str], gap: int = 0, size: int = SWEEP_BIN) -> DataFrame:
     """df with __first: the start of the island that a row is in. Rows join an
     island if they start at most gap after its end, so adjacent rows do."""
-    # both branches of a carry use the same columns, so the deal to bins is made once
-    x = carried(df, keys, "start", size, {"end": F.max("end"), "start": F.min("start")}, {"__reach": ("end", "max")})
+    x = reached(df, keys, size)
     w = Window.partitionBy(*keys, "__bin").orderBy("start", "end")
-    reach = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
-    x = x.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start")))
+    x = x.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + gap), F.col("start")))
     x = carried(x.drop("__reach"), keys, "start", size, {"new": F.max("__new")}, {"__before": ("new", "max")}, dealt=True)
     # the frame holds all peers: of equal rows, any one may be the one that began the island
     first = F.greatest(F.max("__new").over(w), F.col("__before"))
@@ -85,9 +100,15 @@ def iv_join(left: DataFrame, right: DataFrame, keys: list[str] = ("chr",), tile:
     Hot tiles are split by adaptive execution, as this is a plain equi-join.
     wide: left or both, where a side may have rows over WIDE tiles; pairs with one
     are made in tiles WIDE times as large, so that none is copied to thousands.
-    With left, a wide row of the right side has no partners but wide ones."""
+    With left, a wide row of the right side has no partners but wide ones. With
+    both, it is asked first which sides have wide rows, and only copies that can
+    meet such a row are made."""
     keys = list(keys)
     large = tile * WIDE
+    there = {"q_": True, "s_": wide == "both"}
+    if wide == "both":
+        there = {p: df.filter(F.greatest(F.col("end") - 1, F.col("start")) - F.col("start") >= large).limit(1).count() > 0 for p, df in (("q_", left), ("s_", right))}
+        wide = wide if any(there.values()) else ""
 
     def tiled(df: DataFrame, p: str) -> DataFrame:
         """Kinds of tiles: 0 for two narrow rows, 1 for a wide row of the left side, 2 for a narrow one of it and a wide one of the right."""
@@ -99,9 +120,9 @@ def iv_join(left: DataFrame, right: DataFrame, keys: list[str] = ("chr",), tile:
 
         if not wide:
             return out.withColumn("__tile", F.explode(F.sequence(bin_of(first, tile), bin_of(last, tile))))
-        third = [cover(2, large)] if wide == "both" else []
-        broad = F.concat(cover(1, large), *third) if p == "s_" else cover(1, large)
-        narrow = F.concat(cover(0, tile), cover(1, large)) if p == "s_" else F.concat(cover(0, tile), *third)
+        second, third = ([cover(k, large)] if there[side] else [] for k, side in ((1, "q_"), (2, "s_")))
+        broad = F.concat(*second, *third) if p == "s_" else cover(1, large)
+        narrow = F.concat(cover(0, tile), *second) if p == "s_" else F.concat(cover(0, tile), *third)
         return out.withColumn("__tile", F.explode(F.when(last - first >= large, broad).otherwise(narrow)))
 
     hit = (F.col("s_start") < F.col("q_end")) & (F.col("s_end") > F.col("q_start"))

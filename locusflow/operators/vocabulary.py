@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.operators import scoring
+from locusflow.operators.primitives import by_range, iv_join, ranked
+from locusflow.plans.scratch import materialize
 from locusflow.sources import readers
 
 C = F.col
@@ -47,16 +49,16 @@ def universe_rows(spark: SparkSession, path: str) -> DataFrame:
 def vocabulary(regions: DataFrame, special: dict[str, str] | None = None, by_score: bool = False) -> DataFrame:
     """The vocabulary of (chr, start, end, ord) with, where there are, label and
     score: in the order of ord, a number; by_score: the highest score first."""
-    from locusflow.operators.primitives import ranked
-
-    have = set(regions.columns)
-    label = C("label") if "label" in have else F.lit(None).cast("string")
-    score = C("score") if "score" in have else F.lit(None).cast("double")
-    x = regions.groupBy("chr", "start", "end").agg(F.min("ord").alias("ord"), F.max_by(label, "ord").alias("label"), F.max_by(score, "ord").alias("score"))
+    more = {"label": "string", "score": "double"}
+    x = regions.groupBy("chr", "start", "end").agg(F.min("ord").alias("ord"), *[F.max_by(n, "ord").alias(n) for n in more if n in regions.columns])
     if by_score:
-        x = ranked(x.withColumn("__s", -F.coalesce("score", F.lit(float("-inf")))).withColumn("__b", F.greatest(F.least("__s", F.lit(1e12)), F.lit(-1e12))), [], "__b", ["__b", "__s", "ord"], "k").drop("__s", "__b")
+        # scores may be a few values, so bins are ranges of rows; they are written, as ranges come from a sample
+        down = -F.coalesce(C("score") if "score" in regions.columns else F.lit(None).cast("double"), F.lit(float("-inf")))
+        x = materialize(by_range(x.withColumn("__s", down), "__s", "ord").withColumn("__range", F.spark_partition_id()), "ranges")
+        x = ranked(x, [], "__range", ["__s", "ord"], "k", 1)
     else:
         x = ranked(x, [], "ord", ["ord"], "k")
+    x = x.withColumns({n: F.lit(None).cast(kind) for n, kind in more.items() if n not in regions.columns})
     name = F.concat("chr", F.lit(":"), "start", F.lit("-"), "end")
     columns = ["token", "name", "chr", "start", "end", "label", "score"]
     out = x.select((C("k") - 1).alias("token"), name.alias("name"), "chr", "start", "end", "label", "score")

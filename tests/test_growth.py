@@ -1,8 +1,11 @@
 """Deals of rows: made once, in partitions that grow in number with the input, not in size."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
-from locusflow.operators import coverage, primitives, ranges, statistics
+from locusflow.operators import coverage, enrichment, overlaps, primitives, ranges, statistics, vocabulary
 from test_intervals import merged, regions
 
 
@@ -56,3 +59,15 @@ def test_union_except_copies_no_rows_but_its_results(spark, seed):
         assert sorted(tuple(r) for r in out.collect()) == want
     plan = final_plan(out)
     assert plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_a_vocabulary_by_score_is_numbered_in_many_ranges(spark, tmp_path, monkeypatch):
+    rows = [("chr1", i * 10, i * 10 + 5, i, None if i % 50 == 7 else float(i % 3)) for i in range(3000)]
+    spark.createDataFrame(rows, "chr string, start long, end long, ord long, score double").coalesce(1).write.parquet(str(tmp_path / "v"))
+    monkeypatch.setattr(primitives, "DEAL_BYTES", 1000)
+    seen = []
+    monkeypatch.setattr(vocabulary, "ranked", lambda df, *a: seen.append(df) or primitives.ranked(df, *a))
+    out = vocabulary.vocabulary(spark.read.parquet(str(tmp_path / "v")), by_score=True).filter("chr is not null")
+    want = sorted(rows, key=lambda r: (math.inf if r[4] is None else -r[4], r[3]))
+    assert [(r.start, r.score) for r in out.orderBy("token").collect()] == [(r[1], r[4]) for r in want]
+    assert seen[0].select("__range").distinct().count() > 4
