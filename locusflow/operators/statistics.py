@@ -97,9 +97,12 @@ def partition_counts(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFr
     """(partition, n): each query (id) counts for the first partition (priority) that it overlaps, or as intergenic."""
     hits = iv_join(q.select("chr", "start", "end", "id"), parts.select("chr", "start", "end", "priority"), wide="both").groupBy(C("q_id").alias("id")).agg(F.min("s_priority").alias("priority"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (C("priority") + 1).cast("int"))
-    got = q.select("id").join(hits, "id", "left").groupBy(F.when(C("priority").isNull(), "intergenic").otherwise(name).alias("partition")).agg(F.count("*").alias("n"))
-    every = q.sparkSession.createDataFrame([(n,) for n in [*names, "intergenic"]], "partition string")
-    return every.join(got, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    got = hits.groupBy(name.alias("partition")).agg(F.count("*").alias("n"))
+    every = q.sparkSession.createDataFrame([(n,) for n in names], "partition string")
+    got = every.join(got, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # the queries are counted, not looked up among the hits again
+    rest = got.agg(F.sum("n").alias("used")).join(q.agg(F.count("*").alias("all"))).select(F.lit("intergenic").alias("partition"), (C("all") - C("used")).alias("n"))
+    return got.unionByName(rest)
 
 
 def partition_bp(q: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:

@@ -71,3 +71,13 @@ def test_a_vocabulary_by_score_is_numbered_in_many_ranges(spark, tmp_path, monke
     want = sorted(rows, key=lambda r: (math.inf if r[4] is None else -r[4], r[3]))
     assert [(r.start, r.score) for r in out.orderBy("token").collect()] == [(r[1], r[4]) for r in want]
     assert seen[0].select("__range").distinct().count() > 4
+
+
+def test_partitions_without_wide_rows_are_joined_without_copies(spark):
+    _, q = regions(spark, 2)
+    p = regions(spark, 4)[1].withColumn("priority", F.col("id") % 3)
+    plan = final_plan(statistics.partition_counts(q, p, ["x", "y", "z"]))
+    assert "kind" not in plan and plan.count("Scan ExistingRDD[chr") == 3  # hits, and the number of queries
+    wide = spark.createDataFrame([("chr1", 0, 1 << 20, 1, 2)], p.schema)
+    got = {r.partition: r.n for r in statistics.partition_counts(q, p.filter("priority < 2").unionByName(wide), ["x", "y", "z"]).collect()}
+    assert sum(got.values()) == q.count() and got["z"] > 0
