@@ -3,10 +3,10 @@ queries need a column id that tells their rows apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.operators.primitives import asof, iv_join
+from locusflow.operators.primitives import SWEEP_BIN, asof, carried, iv_join
 from locusflow.operators.ranges import midpoint
 
 C = F.col
@@ -55,10 +55,27 @@ def closest(q: DataFrame, s: DataFrame) -> DataFrame:
 def feature_distances(q: DataFrame, features: DataFrame) -> DataFrame:
     """(id, distance): signed, of the nearest feature midpoint to the query's; a
     tie is the left one. Null where the chromosome has no feature."""
-    points = features.select("chr", midpoint().alias("pos")).distinct()
-    x = asof(q.select("chr", "id", midpoint().alias("mid")), points, ["chr"], "mid")
+    return _signed(q, features, "id")
+
+
+def _signed(q: DataFrame, features: DataFrame, *columns: str) -> DataFrame:
+    x = asof(q.select("chr", *columns, midpoint().alias("mid")), features.select("chr", midpoint().alias("pos")), ["chr"], "mid")
     l, r = C("__before") - C("mid"), C("__after") - C("mid")
-    return x.select("id", F.when(r.isNull() | (F.abs(l) <= r), l).otherwise(r).alias("distance"))
+    return x.select(*columns, F.when(r.isNull() | (F.abs(l) <= r), l).otherwise(r).alias("distance"))
+
+
+def median_distance(q: DataFrame, features: DataFrame, size: int = SWEEP_BIN) -> DataFrame:
+    """(median_abs_distance), one row: null if no query has a distance. Distances
+    are counted, and the middle one or two looked up in their order, as an exact
+    percentile would hold all distinct ones in a task."""
+    d = _signed(q, features).select(F.abs("distance").alias("d")).filter("d is not null").groupBy("d").agg(F.count("*").alias("n"))
+    x = carried(d, [], "d", size, {"n": F.sum("n")}, {"__before": ("n", "sum"), "__after": ("n", "rest")})
+    w = Window.partitionBy("__bin").orderBy("d")
+    last = F.coalesce("__before", zero()) + F.sum("n").over(w)
+    total = F.coalesce("__before", zero()) + F.coalesce("__after", zero()) + F.sum("n").over(Window.partitionBy("__bin"))
+    x = x.select("d", last.alias("last"), (last - C("n") + 1).alias("first"), F.floor((total + 1) / 2).alias("lo"), F.floor((total + 2) / 2).alias("hi"))
+    # of an odd number both are the middle one, so the mean of what holds them is the median
+    return x.filter("first <= hi and last >= lo").agg(F.avg("d").alias("median_abs_distance"))
 
 
 def tss_distances(q: DataFrame, tss: DataFrame, sentinel: bool = False) -> DataFrame:

@@ -81,3 +81,13 @@ def test_partitions_without_wide_rows_are_joined_without_copies(spark):
     wide = spark.createDataFrame([("chr1", 0, 1 << 20, 1, 2)], p.schema)
     got = {r.partition: r.n for r in statistics.partition_counts(q, p.filter("priority < 2").unionByName(wide), ["x", "y", "z"]).collect()}
     assert sum(got.values()) == q.count() and got["z"] > 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("n", [40, 41])
+def test_median_distance(spark, seed, n):
+    q, f = regions(spark, seed, n)[1], regions(spark, seed + 1, 6)[1]
+    got = [r.median_abs_distance for size in (7, 1 << 16) for r in overlaps.median_distance(q, f, size).collect()]
+    want = overlaps.feature_distances(q, f).agg(F.percentile(F.abs("distance"), F.lit(0.5)).alias("m")).first().m
+    assert got == [want, want]
+    assert [r[0] for r in overlaps.median_distance(q, f.filter("chr = 'none'")).collect()] == [None]
