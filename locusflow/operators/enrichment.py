@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 
 from locusflow.functions.hypergeometric import fisher_udf, odds_udf
 from locusflow.operators.overlaps import count_overlaps
-from locusflow.operators.primitives import iv_join
+from locusflow.operators.primitives import iv_join, reached
 from locusflow.operators.ranges import disjoin
 
 C = F.col
 
 
-def contingency(users: DataFrame, db: DataFrame, universe: DataFrame) -> DataFrame:
-    """(user_set, set_id, a, b, c, d). users and universe: (id, chr, start, end),
-    users with user_set; db with set_id. All pairs of a user set and a db set that
-    hits the universe are there; both sides are summaries, a row a set."""
+def contingency(users: DataFrame, db: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """(user_set, set_id, a, b, c, d). users and universe: (chr, start, end), a row
+    a region, users with user_set; db with set_id. No universe: the users' regions
+    are it, each in one user set. All pairs of a user set and a db set that hits
+    the universe are there; both sides are summaries, a row a set."""
+    # a region counts for a set at the first row of it that it overlaps: those
+    # before end at its start or earlier. So pairs are counted where they are found
+    first = reached(db.select("chr", "start", "end", "set_id"), ["chr", "set_id"]).drop("__bin")
+
     def hits(rows: DataFrame, *more: str) -> DataFrame:
-        pairs = iv_join(rows.select("id", "chr", "start", "end", *more), db.select("chr", "start", "end", "set_id"))
-        return pairs.select(*[C(f"q_{m}").alias(m) for m in more], "q_id", C("s_set_id").alias("set_id")).distinct()
+        pairs = iv_join(rows.select("chr", "start", "end", *more), first).filter("s___reach is null or s___reach <= q_start")
+        return pairs.groupBy(*[C(f"q_{m}").alias(m) for m in more], C("s_set_id").alias("set_id")).agg(F.count("*").alias("a"))
 
-    a = hits(users, "user_set").groupBy("user_set", "set_id").agg(F.count("*").alias("a"))
-    k = hits(universe).groupBy("set_id").agg(F.count("*").alias("hits"))
     n = users.groupBy("user_set").agg(F.count("*").alias("size"))
-    total = universe.agg(F.count("*").alias("total"))
-    x = n.join(total).join(k).join(a, ["user_set", "set_id"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("long")))
+    if universe is None:
+        entry = F.when(C("user_set").isNotNull(), F.struct("user_set", "a"))
+        k = hits(users, "user_set").groupBy("set_id").agg(F.sum("a").alias("hits"), F.map_from_entries(F.collect_list(entry)).alias("m"))
+        x = n.withColumn("total", F.sum("size").over(Window.partitionBy())).join(k).withColumn("a", F.coalesce(F.element_at("m", C("user_set")), F.lit(0).cast("long")))
+    else:
+        k = hits(universe).withColumnRenamed("a", "hits")
+        x = n.join(universe.agg(F.count("*").alias("total"))).join(k).join(hits(users, "user_set"), ["user_set", "set_id"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("long")))
     return x.select("user_set", "set_id", "a", (C("hits") - C("a")).alias("b"), (C("size") - C("a")).alias("c"), (C("total") - C("size") - C("hits") + C("a")).alias("d"))
 
 

@@ -151,7 +151,7 @@ def restricted_universe(t):
 
 
 def _database(t) -> databases.RegionDB:
-    return databases.RegionDB.from_sets(t.sets, t.sets.select("set_id", F.concat(F.lit("line_"), "set_id").alias("filename")).distinct())
+    return databases.RegionDB.from_sets(t.sets, t.set_ids.select("set_id", F.concat(F.lit("line_"), "set_id").alias("filename")))
 
 
 @query("""WITH h AS (SELECT s.set_id AS set_id, count(*) AS pairs, count(DISTINCT q.id) AS queries FROM iv_b q JOIN sets s ON q.chr = s.chr AND s.start < q."end" AND s."end" > q.start GROUP BY s.set_id), n AS (SELECT set_id, count(*) AS size FROM sets WHERE start < "end" GROUP BY set_id)

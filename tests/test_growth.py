@@ -91,3 +91,18 @@ def test_median_distance(spark, seed, n):
     want = overlaps.feature_distances(q, f).agg(F.percentile(F.abs("distance"), F.lit(0.5)).alias("m")).first().m
     assert got == [want, want]
     assert [r[0] for r in overlaps.median_distance(q, f.filter("chr = 'none'")).collect()] == [None]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_contingency_counts_pairs_where_it_finds_them(spark, seed):
+    (a, da), (b, db) = regions(spark, seed, 150), regions(spark, seed + 1, 90)
+    users, sets = da.withColumn("user_set", F.col("id") % 3), db.withColumn("set_id", F.col("id") % 4)
+    hit = {(x[3], y[3] % 4) for x in a for y in b if x[0] == y[0] and y[1] < x[2] and y[2] > x[1]}
+    want = []
+    for u in range(3):
+        for k in {k for _, k in hit}:
+            n, hits, size = sum(i % 3 == u and s == k for i, s in hit), sum(s == k for _, s in hit), sum(x[3] % 3 == u for x in a)
+            want.append((u, k, n, hits - n, size - n, len(a) - size - hits + n))
+    alone = enrichment.contingency(users, sets)
+    for out in (alone, enrichment.contingency(users, sets, da)):
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want)
