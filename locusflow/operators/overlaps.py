@@ -43,13 +43,21 @@ def not_overlapping(q: DataFrame, s: DataFrame) -> DataFrame:
     return q.join(hits, "id", "left_anti").select(*q.columns)
 
 
-def closest(q: DataFrame, s: DataFrame) -> DataFrame:
+def closest(q: DataFrame, s: DataFrame, size: int = SWEEP_BIN) -> DataFrame:
     """(id, distance) to the nearest row of s, 0 for overlaps and neighbours that
-    touch. Queries on chromosomes that s lacks are dropped."""
-    hits = iv_join(q.select("chr", "start", "end", "id"), s.select("chr", "start", "end")).select(C("q_id").alias("id"), zero().alias("d"))
-    left = asof(q.select("chr", "start", "end", "id"), s.select("chr", C("end").alias("pos")), ["chr"], "start").select("id", "end", "start", "chr", (C("start") - C("__before")).alias("l"))
-    both = asof(left, s.select("chr", C("start").alias("pos")), ["chr"], "end").select("id", F.least(C("l"), C("__after") - C("end")).alias("d"))
-    return hits.unionByName(both).filter("d is not null").groupBy("id").agg(F.min("d").alias("distance"))
+    touch. Queries on chromosomes that s lacks are dropped.
+    One sweep meets each query at its end: of the rows that start before it, the
+    largest end is beyond the query's start if one of them overlaps, else it is
+    the nearest at the left; the least start from there on is the nearest at the right."""
+    rows = q.select("chr", C("end").alias("pos"), C("start").alias("from"), "id").withColumn("__q", F.lit(True))
+    x = rows.unionByName(s.select("chr", C("start").alias("pos"), C("end").alias("s_end")), allowMissingColumns=True)
+    x = carried(x, ["chr"], "pos", size, {"end": F.max("s_end"), "start": F.min(F.when(C("__q").isNull(), C("pos")))}, {"__l": ("end", "max"), "__r": ("start", "next")})
+    w, back = Window.partitionBy("chr", "__bin").orderBy("pos"), Window.partitionBy("chr", "__bin").orderBy(C("pos").desc())
+    before = F.greatest(F.max("s_end").over(w.rangeBetween(Window.unboundedPreceding, -1)), C("__l"))
+    after = F.least(F.min(F.when(C("__q").isNull(), C("pos"))).over(back.rangeBetween(Window.unboundedPreceding, 0)), C("__r"))
+    x = x.withColumn("before", before).withColumn("after", after).filter("__q")
+    d = F.least(F.when(C("before").isNotNull(), F.greatest(C("from") - C("before"), zero())), C("after") - C("pos"))
+    return x.select("id", d.alias("distance")).filter("distance is not null")
 
 
 def feature_distances(q: DataFrame, features: DataFrame) -> DataFrame:

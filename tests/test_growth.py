@@ -106,3 +106,14 @@ def test_contingency_counts_pairs_where_it_finds_them(spark, seed):
     alone = enrichment.contingency(users, sets)
     for out in (alone, enrichment.contingency(users, sets, da)):
         assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_closest_is_one_sweep(spark, seed):
+    (a, da), (b, db) = regions(spark, seed, 80, 900), regions(spark, seed + 2, 15, 900)
+    b = [y for y in b if y[0] != "chr3"] + [("chr3", 850, 860, 99)]
+    db = spark.createDataFrame(b, db.schema)
+    want = {x[3]: min(max(0, x[1] - y[2], y[1] - x[2]) for y in b if y[0] == x[0]) for x in a}
+    for size in (7, 1 << 16):
+        assert {r.id: r.distance for r in overlaps.closest(da, db, size).collect()} == want
+    assert final_plan(overlaps.closest(da, db)).count("Scan ExistingRDD") == 2
