@@ -104,14 +104,18 @@ class Tokenizer:
 
     def encode(self, regions: DataFrame) -> DataFrame:
         """(id, token) of regions (chr, start, end, id); a row of the unknown token if none of them has any."""
-        hits = scoring.tokens(regions, self.regions())
-        unknown = self.table.filter((C("name") == self.special["unk"]) & C("chr").isNull()).select(F.lit(None).cast(hits.schema["id"].dataType).alias("id"), "token")
-        none = hits.limit(1).agg(F.count("*").alias("n")).filter("n = 0")  # one row
-        return hits.unionByName(unknown.join(F.broadcast(none)).select("id", "token"))
+        return self._encoded(regions, "token")
 
     def tokenize(self, regions: DataFrame) -> DataFrame:
         """encode() with names."""
-        return self.names_of(self.encode(regions))
+        return self._encoded(regions, "token", "name")
+
+    def _encoded(self, regions: DataFrame, *columns: str) -> DataFrame:
+        """The hits are written, as they are asked for twice: they are the result, and whether there are any decides on the unknown token."""
+        hits = iv_join(regions.select("chr", "start", "end", "id"), self.regions().select("chr", "start", "end", *columns))
+        hits = materialize(hits.select(C("q_id").alias("id"), *[C(f"s_{c}").alias(c) for c in columns]), "hits")
+        unknown = self.table.filter((C("name") == self.special["unk"]) & C("chr").isNull()).select(F.lit(None).cast(hits.schema["id"].dataType).alias("id"), *columns)
+        return hits if hits.limit(1).count() else hits.unionByName(unknown)
 
     def names_of(self, tokens: DataFrame) -> DataFrame:
         """tokens (token, ...) with name; null where there is no such token."""

@@ -117,3 +117,13 @@ def test_closest_is_one_sweep(spark, seed):
     for size in (7, 1 << 16):
         assert {r.id: r.distance for r in overlaps.closest(da, db, size).collect()} == want
     assert final_plan(overlaps.closest(da, db)).count("Scan ExistingRDD") == 2
+
+
+def test_regions_are_joined_once_for_their_tokens(spark):
+    _, df = regions(spark, 2)
+    z = vocabulary.Tokenizer(vocabulary.vocabulary(regions(spark, 4, 20)[1].withColumnRenamed("id", "ord")))
+    out = z.tokenize(df)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in z.names_of(z.encode(df)).select("id", "token", "name").collect())
+    assert "Join" not in final_plan(out) and out.count() > 0
+    none = z.tokenize(df.withColumn("chr", F.lit("none")))
+    assert [tuple(r) for r in none.collect()] == [(None, z.regions().count(), "<unk>")]
