@@ -41,9 +41,9 @@ def level2(sequences: DataFrame) -> DataFrame:
 def level1(arrays: DataFrame) -> DataFrame:
     """(collection, digest, names, lengths, sequences and ancillary digests) of
     level2(). Lengths are no part of the collection's digest."""
-    pair = lambda i: F.struct(F.get("lengths", i).alias("length"), F.get("names", i).alias("name"))
-    index = F.sequence(F.lit(0), F.size("names") - 1)
-    x = arrays.withColumn("pairs", F.transform(index, pair))
+    # zipped once a row: an array looked up in a lambda is made anew for each element
+    pair = lambda p: F.struct(p["lengths"].alias("length"), p["names"].alias("name"))
+    x = arrays.withColumn("pairs", F.transform(F.arrays_zip("lengths", "names"), pair))
     listed = lambda c: sha512t24u(F.to_json(c))
     x = x.select(
         "collection", *[listed(C(c)).alias(c) for c in ("names", "lengths", "sequences")],

@@ -114,7 +114,7 @@ def file_digest(t):
   CASE WHEN regexp_full_match(upper(coalesce(source, '')), '[ACGT]*') THEN 'dna2bit' WHEN regexp_full_match(upper(coalesce(source, '')), '[ACGTNRYX]*') THEN 'dna3bit' WHEN regexp_full_match(upper(coalesce(source, '')), '[ACGTNRYKMSWBDHVX*-]*') THEN 'dnaio' WHEN regexp_full_match(upper(coalesce(source, '')), '[ACDEFGHIKLMNPQRSTVWYX*-]*') THEN 'protein' ELSE 'ascii' END AS name
 FROM d JOIN documents USING (doc_id)""")
 def alphabets(t):
-    s = _sequences(t).join(t.read("documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    s = _sequences(t, source=F.coalesce("source", F.lit(""))).filter("doc_id is not null")
     return s.select("doc_id", digests.alphabet(C("seq")).alias("dna"), digests.alphabet(C("source")).alias("name"))
 
 

@@ -1,11 +1,15 @@
 """Deals of rows: made once, in partitions that grow in number with the input, not in size."""
 
+import base64
+import hashlib
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.operators import coverage, enrichment, overlaps, primitives, ranges, statistics, vocabulary
+from locusflow.operators import coverage, enrichment, overlaps, primitives, ranges, sequences, statistics, variants, vocabulary
+from locusflow.plans import catalog
 from test_intervals import merged, regions
 
 
@@ -127,3 +131,15 @@ def test_regions_are_joined_once_for_their_tokens(spark):
     assert "Join" not in final_plan(out) and out.count() > 0
     none = z.tokenize(df.withColumn("chr", F.lit("none")))
     assert [tuple(r) for r in none.collect()] == [(None, z.regions().count(), "<unk>")]
+
+
+def test_a_collection_is_digested_in_one_pass(spark):
+    rows = [(c, i, f"s{i % 7}", "ACGT" * (i % 5)) for c in "ab" for i in range(40)]
+    x = sequences.level1(sequences.level2(spark.createDataFrame(rows, "collection string, ord long, name string, seq string")))
+    pairs = [json.dumps({"length": 4 * (i % 5), "name": f"s{i % 7}"}, separators=(",", ":")) for i in range(40)]
+    digest = lambda s: base64.urlsafe_b64encode(hashlib.sha512(s.encode()).digest()[:24]).decode()
+    assert {r.name_length_pairs for r in x.collect()} == {digest("[" + ",".join(pairs) + "]")}
+    assert {r.sorted_name_length_pairs for r in x.collect()} == {digest(json.dumps(sorted(digest(p) for p in pairs), separators=(",", ":")))}
+    # no array is looked up by index, which would make it anew for each element; and no join of the texts
+    assert "get(" not in final_plan(x)
+    assert "Join" not in final_plan(catalog.QUERIES["collection_digests"](spark, "/root/testdata/sf0.001"))
