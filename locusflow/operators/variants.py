@@ -9,6 +9,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
 from locusflow.functions.digests import sha512t24u
 from locusflow.operators.sequences import CHUNK, extract
+from locusflow.plans.scratch import materialize
 
 C = F.col
 #: Bases read at either side of an allele; what rolls beyond the last is read with its whole sequence.
@@ -57,18 +58,26 @@ def _justified(bases: pd.Series, start: pd.Series, ref: pd.Series, alt: pd.Serie
 def normalized(variants: DataFrame, pieces: DataFrame, mismatch: str = "raise", size: int = CHUNK, contexts: tuple[int, ...] = CONTEXTS) -> DataFrame:
     """(id, name, start, end, allele) of (id, name, start, ref, alt), id a key;
     pieces: chunks() of the sequences. Where ref isn't what the sequence holds,
-    raises, or with mismatch="null" gives nulls."""
+    raises, or with mismatch="null" gives nulls. Variants and what is found with
+    each context are written: the next one reads only what is left, of the
+    sequences that have it, and none if nothing is."""
     rest, done = variants.select("id", "name", C("start").cast("long").alias("start"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt")), []
+    rest = materialize(rest, "variants")
     pieces = pieces.withColumn("bases", F.upper("bases"))
-    ends = pieces.groupBy("name").agg(F.max(C("chunk") * size + F.length("bases")).alias("__length"))
     for w in (*contexts, _WHOLE):
+        if done:
+            if not rest.limit(1).count():
+                break
+            pieces = pieces.join(rest.select("name").distinct(), "name", "left_semi")
         last = C("s") + F.length("ref") + w
         around = rest.withColumnRenamed("start", "s").withColumn("start", F.greatest(C("s") - w, F.lit(0).cast("long")))
         if w == _WHOLE:  # a sequence of its own length
+            ends = pieces.groupBy("name").agg(F.max(C("chunk") * size + F.length("bases")).alias("__length"))
             around = around.join(ends, "name", "left").withColumn("end", F.coalesce("__length", F.lit(0))).drop("__length")
         else:
             around = around.withColumn("end", last)
         x = extract(pieces, around, size).withColumn("r", _justified("bases", "s", "ref", "alt", F.lit(w)))
+        x = materialize(x.select("id", "name", "s", "ref", "alt", "r"), "alleles")
         done.append(x.filter("r.inside").select("id", "name", C("s").alias("start"), "ref", "r"))
         rest = x.filter("not r.inside").select("id", "name", C("s").alias("start"), "ref", "alt")
     out = done[0]
@@ -97,6 +106,7 @@ def length_allele_id(accession: Column, start: Column, end: Column, length: Colu
 
 def identified(variants: DataFrame, pieces: DataFrame, accessions: DataFrame, mismatch: str = "raise") -> DataFrame:
     """normalized() with vrs_id. accessions: (name, accession); variants of other sequences are skipped."""
+    accessions = materialize(accessions.select("name", "accession"), "accessions")
     known = variants.join(accessions.select("name"), "name", "left_semi")
     x = normalized(known, pieces, mismatch).join(accessions, "name")
     return x.withColumn("vrs_id", allele_id(C("accession"), C("start"), C("end"), C("allele")))

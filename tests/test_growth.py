@@ -143,3 +143,14 @@ def test_a_collection_is_digested_in_one_pass(spark):
     # no array is looked up by index, which would make it anew for each element; and no join of the texts
     assert "get(" not in final_plan(x)
     assert "Join" not in final_plan(catalog.QUERIES["collection_digests"](spark, "/root/testdata/sf0.001"))
+
+
+def test_alleles_are_prepared_once(spark, monkeypatch):
+    pieces = sequences.chunks(spark.createDataFrame([("c", "ACGT" * 30 + "A" * 90 + "C" * 40)], "name string, seq string"), 16)
+    rows = [(1, "c", 3, "T", "G"), (2, "c", 130, "A", "AA")]
+    asked = []
+    monkeypatch.setattr(variants, "extract", lambda p, r, size: asked.append(r) or sequences.extract(p, r, size))
+    made = lambda rows: {r.id: (r.start, r.end, len(r.allele)) for r in variants.normalized(spark.createDataFrame(rows, "id long, name string, start long, ref string, alt string"), pieces, size=16, contexts=(4, 200)).collect()}
+    assert made(rows[:1]) == {1: (3, 4, 1)} and len(asked) == 1  # none rolls on, so no wider context is read
+    assert made(rows) == {1: (3, 4, 1), 2: (120, 210, 91)} and len(asked) == 3
+    assert all("Python" not in r._jdf.queryExecution().optimizedPlan().toString() for r in asked)
